@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
+from . import chat, decontaminate, fingerprints, sharding
 
 QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
+    "op5_fingerprint": fingerprints.op5_fingerprint,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
+    "op2_chat_format": chat.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

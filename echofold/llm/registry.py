@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, sharding
+from . import chat, decontaminate, fingerprints, sharding, simhash
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op5_fingerprint": fingerprints.op5_fingerprint,
+    "op6_simhash": simhash.op6_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
 }

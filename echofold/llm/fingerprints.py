@@ -112,8 +112,8 @@ def _next(df: DataFrame, low: int, high: int, into: str) -> DataFrame:
         return df.withColumn(into, F.coalesce(into, F.first("__v").over(whole))).drop("__g", "__n")
     firsts = df.where(F.col("__n") == 1).select(F.col("__g").alias("__k"), "__v")
     firsts = firsts.withColumn("__g", F.shiftright("__k", _GROUP_BITS))
-    above = _next(firsts, low >> _GROUP_BITS, high >> _GROUP_BITS, "__above").select(F.col("__k").alias("__g"), "__above")
-    return df.join(above, "__g").withColumn(into, F.coalesce(into, "__above")).drop("__g", "__n", "__above")
+    above = _next(firsts, low >> _GROUP_BITS, high >> _GROUP_BITS, "__above").select(F.col("__k").alias("__g"), F.col("__above").alias("__up"))
+    return df.join(above, "__g").withColumn(into, F.coalesce(into, "__up")).drop("__g", "__n", "__up")
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, sharding, simhash
+from . import chat, decontaminate, fingerprints, lm_score, sharding, simhash
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_chat_format": chat.op2_chat_format,
     "op5_fingerprint": fingerprints.op5_fingerprint,
     "op6_simhash": simhash.op6_simhash,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, lm_score, sharding, simhash
+from . import chat, decontaminate, fingerprints, language, lm_score, sharding, simhash
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_chat_format": chat.op2_chat_format,
     "op5_fingerprint": fingerprints.op5_fingerprint,
     "op6_simhash": simhash.op6_simhash,
+    "op8_language": language.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -196,6 +196,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Decontamin
     return out.select(id_col, "n_words", n_hit.alias("n_hit"), "spans", "items", (F.size("items") > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams = DecontaminateParams(), *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The documents without any occurrence, all columns as they are: a pass over them for each set of patterns."""
+    kept = docs
+    for items in _sets(benchmark, params, item_col, text_col):
+        kept = _match(kept.withColumn("_words_of", F.col(text_col)), items, params, "_words_of", only_hits=False).where(F.size("items") == 0).select(*docs.columns)
+    return kept
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.concat_ws(",", "items")

@@ -236,6 +236,21 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams(), *,
     return prints.join(of, "fp").select(F.col(id_col), "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
+    """One document of each class, that with the least id; of rows that share the id, one. All columns as they are.
+
+    Rows without an id stay only where their class has no id, one for each fingerprint."""
+    found = cut(near_duplicates(docs, params))
+    heads = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = found.where(F.col("component_id").isNull())
+    if not nameless.isEmpty():
+        texts = add_simhash(docs.where(F.col("doc_id").isNull()).withColumn("_row", F.struct(*docs.columns)), params, id_col="_row")
+        loose = texts.join(nameless.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row")).select("_row.*")
+        kept = kept.unionByName(loose)
+    return kept.select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

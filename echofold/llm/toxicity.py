@@ -71,13 +71,18 @@ class Vectors:
     def terms(self, text: str | None) -> dict[int, int]:
         if len(self._of) > 500_000:
             self._of.clear()
-        found: Counter = Counter()
+        found: dict[int, int] = {}
+        others, of = 0, self._of
         for w, n in Counter(words(text)).items():
-            own = self._of.get(w)
+            own = of.get(w)
             if own is None:
-                own = self._of[w] = tuple(self.number[t] for t in features(w, self.stems) if t in self.number) or (self.other,)
+                own = of[w] = tuple(self.number[t] for t in features(w, self.stems) if t in self.number)
+            if not own:
+                others += n
             for t in own:
-                found[t] += n
+                found[t] = found.get(t, 0) + n
+        if others:
+            found[self.other] = others
         return found
 
 
@@ -205,9 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, toxic, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = sorted({f for w in set(words(text)) for f in features(w, stems)})
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array([toxic] * len(own), pa.int32()), pa.array(own, pa.string())], names=["id", "toxic", "term"])
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                own = [sorted({f for w in set(words(t)) for f in features(w, stems)}) for t in part.column(2).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([t for x in own for t in x], pa.string())], names=["id", "toxic", "term"])
 
     terms = cut(found.select(F.col("id").cast("long"), "toxic", "text").mapInArrow(split, "id long, toxic int, term string"))
     own = terms.groupBy("id").agg(F.max("toxic").alias("toxic"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as E
-from ..operators.align import align_pairs, align_pairs_native, score_visual_segments
+from ..operators.align import align_pairs, score_visual_segments
 from ..operators.candidates import find_audio_candidates, find_candidates, score_all_pairs
 from ..operators.cluster import cluster_edges
 from ..operators.images import HammingIndex, find_duplicates, similar_pairs
@@ -115,22 +115,12 @@ def best_alignment_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_all_pairs(views.event_clips(spark, sf_dir), None, want=30, hard=30, motion_bits=2, threshold=None)
 
 
-def _on_pairs(clips: DataFrame, align) -> DataFrame:
-    pairs = _pairs(clips, "hashes", 30)
-    out = align(pairs, "x", "y", E.adaptive_floor(F.size("x"), F.size("y"), 30, 30), 2)
-    return out.where(E.matched(F.col("overlap"))).select("a", "b", "shift", "avg_bits", "overlap")
-
-
 @_query(ORACLES["best_alignment_gated"])
 def best_alignment_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a table of pairs, as a caller may have one."""
-    return _on_pairs(views.event_clips(spark, sf_dir), align_pairs)
-
-
-@_query(ORACLES["best_alignment_gated"])
-def best_alignment_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in Spark expressions only."""
-    return _on_pairs(views.event_clips(spark, sf_dir).repartition("id"), align_pairs_native)
+    pairs = _pairs(views.event_clips(spark, sf_dir), "hashes", 30)
+    out = align_pairs(pairs, "x", "y", E.adaptive_floor(F.size("x"), F.size("y"), 30, 30), 2)
+    return out.where(E.matched(F.col("overlap"))).select("a", "b", "shift", "avg_bits", "overlap")
 
 
 @_query(

@@ -9,9 +9,15 @@ from ..functions.hashing import sha256_hex
 
 
 def hash_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, length, sha256) of files that Spark's binary reader can open; each file is one row, so below 2 GB."""
+    """(path, length, sha256) of files that Spark's binary reader can open; each file is one row, so below 2 GB.
+
+    The reader leaves out files without content; they are added from its list of files."""
     files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", "length", sha256_hex(F.col("content")).alias("sha256"))
+    read = files.select("path", "length", sha256_hex(F.col("content")).alias("sha256"))
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    listed = listed.withColumn("path", F.regexp_replace(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/"))
+    empty = listed.join(read.select("path"), "path", "left_anti")
+    return read.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), sha256_hex(F.lit(b"")).alias("sha256")))
 
 
 def hash_large_files(paths: DataFrame, path_col: str = "path") -> DataFrame:

@@ -67,8 +67,8 @@ def hash_frames(data: bytes) -> list[int]:
     if len(data) % SAMPLE_BYTES:
         raise ExtractError("Truncated", "ffmpeg output truncated mid-frame")
     pixels = np.frombuffer(data, np.uint8).reshape(-1, SAMPLE_H, SAMPLE_W)
-    bits = (pixels[:, :, :-1] > pixels[:, :, 1:]).reshape(len(pixels), -1)
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0].tolist() if len(pixels) else []
+    bits = (pixels[:, :, :-1] > pixels[:, :, 1:]).reshape(len(pixels), 64)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
 def parse_fingerprint_line(text: str) -> list[int]:

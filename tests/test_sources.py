@@ -1,0 +1,90 @@
+import hashlib
+import stat
+import struct
+import zlib
+
+import pytest
+from model import signed
+
+from echofold.params import SAMPLE_BYTES
+from echofold.sources.files import hash_files, hash_large_files
+from echofold.sources.images import read_image_hashes
+from echofold.sources.media import Extractor, read_audio_fingerprints, read_frame_hashes
+
+
+def script(path, body):
+    path.write_text("#!/bin/sh\n" + body)
+    path.chmod(path.stat().st_mode | stat.S_IXUSR)
+    return str(path)
+
+
+def test_file_digests(spark, tmp_path):
+    data = {"empty": b"", "abc": b"abc", "zeros": bytes(200 * 1024)}
+    for name, d in data.items():
+        (tmp_path / name).write_bytes(d)
+    want = {n: hashlib.sha256(d).hexdigest() for n, d in data.items()}
+    assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in hash_files(spark, str(tmp_path)).collect()} == want
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in data] + [(str(tmp_path / "none"),)], "path string")
+    got = {r.path.rsplit("/", 1)[1]: r for r in hash_large_files(paths).collect()}
+    assert {n: got[n].sha256 for n in data} == want and got["none"].sha256 is None and "No such file" in got["none"].error
+
+
+def frames(spark, tmp_path, body, **kw):
+    tool = Extractor(script(tmp_path / "ffmpeg", body), str(tmp_path / "fpcalc"))
+    df = spark.createDataFrame([("clip", 1.5)], "path string, start_secs double")
+    return read_frame_hashes(df, extractor=tool, window_secs=7, **kw).first()
+
+
+def test_frames(spark, tmp_path):
+    data = bytes(i * 11 % 256 for i in range(72)) * 2
+    (tmp_path / "raw").write_bytes(data)
+    r = frames(spark, tmp_path, f'echo "$@" > {tmp_path}/args; cat {tmp_path}/raw')
+    assert r.hashes == signed([0x4000020000200000] * 2) and r.status == "Ok"
+    assert (tmp_path / "args").read_text().split() == "-nostdin -v error -nostats -ss 1.500 -t 7 -i clip -vf fps=6,scale=9:8,format=gray -an -f rawvideo -pix_fmt gray pipe:1".split()
+
+
+def test_frame_failures(spark, tmp_path):
+    assert frames(spark, tmp_path, "true").hashes == []
+    r = frames(spark, tmp_path, f"head -c {SAMPLE_BYTES + 1} /dev/zero")
+    assert (r.hashes, r.status, r.message) == (None, "Truncated", "ffmpeg output truncated mid-frame")
+    r = frames(spark, tmp_path, "printf abc; echo broken >&2; exit 3")
+    assert (r.status, r.message) == ("NonZeroExit", "ffmpeg exit exit status: 3: broken")
+    r = frames(spark, tmp_path, "head -c 300000 /dev/zero >&2; head -c 72 /dev/zero")
+    assert r.hashes == [0]
+    with pytest.raises(Exception, match="truncated"):
+        frames(spark, tmp_path, "printf abc", fail_fast=True)
+    gone = read_frame_hashes(spark.createDataFrame([("x",)], "path string"), extractor=Extractor(str(tmp_path / "nothing"))).first()
+    assert gone.status == "Spawn" and gone.message.startswith("spawn process:")
+
+
+@pytest.mark.parametrize(
+    "ffmpeg, fpcalc, want",
+    [
+        ("printf wav", "cat >/dev/null; echo FINGERPRINT=1; echo 'FINGERPRINT=-1, 5,'", ([2**32 - 1, 5], "Ok", None)),
+        ("printf wav", "cat >/dev/null; echo FINGERPRINT=", ([], "Ok", None)),
+        ("printf wav", "cat >/dev/null; echo DURATION=3", (None, "NoFingerprint", "fpcalc produced no fingerprint")),
+        ("printf wav", "cat >/dev/null; echo FINGERPRINT=1,q", (None, "Parse", "parse fingerprint 'q'")),
+        ("echo bad >&2; exit 2", "cat >/dev/null; exit 4", (None, "NonZeroExit", "ffmpeg exit exit status: 2: bad")),
+        ("printf wav", "cat >/dev/null; exit 4", (None, "NonZeroExit", "fpcalc exit exit status: 4")),
+    ],
+)
+def test_audio(spark, tmp_path, ffmpeg, fpcalc, want):
+    tool = Extractor(script(tmp_path / "ffmpeg", ffmpeg), script(tmp_path / "fpcalc", fpcalc))
+    r = read_audio_fingerprints(spark.createDataFrame([("clip",)], "path string"), extractor=tool).first()
+    assert (r.fps, r.status, r.message) == want
+
+
+def png(w, h, pixel):
+    raw = b"".join(b"\0" + bytes(v for x in range(w) for v in pixel(x, y)) for y in range(h))
+    part = lambda kind, d: struct.pack(">I", len(d)) + kind + d + struct.pack(">I", zlib.crc32(kind + d))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "solid.png").write_bytes(png(40, 30, lambda x, y: (90, 120, 30)))
+    (tmp_path / "falling.png").write_bytes(png(170, 160, lambda x, y: (250 - x, 250 - x, 250 - x)))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    got = {r.path.rsplit("/", 1)[1]: r for r in read_image_hashes(spark, str(tmp_path)).collect()}
+    assert got["solid.png"].hash == "0" * 64
+    assert sum(int(c, 16).bit_count() for c in got["falling.png"].hash) > 240
+    assert got["bad.png"].hash is None and got["bad.png"].error.startswith("image load/decode failed")

@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -141,7 +142,7 @@ def _match(docs: DataFrame, items: list[tuple[str, str]], params: DecontaminateP
     sent = docs.sparkSession.sparkContext.broadcast(items)
     window = params.window
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), _MATCH])
+    schema = T.StructType([*rest, *T.StructType.fromDDL(_MATCH).fields])
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: Decontamina
     """The documents without any occurrence, all columns as they are: a pass over them for each set of patterns."""
     kept = docs
     for items in _sets(benchmark, params, item_col, text_col):
-        kept = _match(kept.withColumn("_words_of", F.col(text_col)), items, params, "_words_of", only_hits=False).where(F.size("items") == 0).select(*docs.columns)
+        # the row travels as one column, whatever its columns are called
+        rows = kept.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+        kept = _match(rows, items, params, "_text", only_hits=False).where(F.size("items") == 0).select("_row.*")
     return kept
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, table
 from .gru import Labeller, train
@@ -101,18 +102,19 @@ def label(texts: list[bytes], net: Labeller, params: LanguageParams) -> np.ndarr
 def identify(docs: DataFrame, params: LanguageParams = LanguageParams(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """A row per document: id, held_out, lang_pred, score."""
     langs, net = fit(docs, params, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    return _predict(docs.select(F.col(id_col), F.col(text_col).alias("_text")), langs, net, params, id_col)
+    out = _predict(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), langs, net, params)
+    return out.select(F.col("row").alias(id_col), (crc_mod(F.col("row"), params.fold_mod) == params.fold).alias("held_out"), "lang_pred", "score")
 
 
-def _predict(rows: DataFrame, langs: list[str], net: Labeller | None, params: LanguageParams, id_col: str) -> DataFrame:
-    """The last column of rows is the text; the others are kept."""
+def _predict(rows: DataFrame, langs: list[str], net: Labeller | None, params: LanguageParams) -> DataFrame:
+    """(row, lang_pred, score) of (row, text)."""
     model = rows.sparkSession.sparkContext.broadcast(net)
     most = params.lanes * params.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(1).to_pylist()
             read = [t.encode("utf-8", "surrogatepass") if t is not None and any(map(str.isalpha, t)) else b"" for t in texts]
             total, at = np.zeros((len(read), max(1, len(langs)))), 0
             while own is not None and at < len(read):
@@ -126,19 +128,17 @@ def _predict(rows: DataFrame, langs: list[str], net: Labeller | None, params: La
             best = total.argmax(axis=1)
             said = [langs[i] if m > 0 else UNKNOWN for i, m in zip(best, mass, strict=True)]
             score = np.clip(total.max(axis=1) / np.maximum(mass, 1e-9), 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said), pa.array(score)], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
-    return out.select(id_col, (crc_mod(F.col(id_col), params.fold_mod) == params.fold).alias("held_out"), *(c for c in out.columns if c != id_col))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def keep_identified(docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
     """The documents whose text is in some language: all columns as they are."""
     langs, net = fit(docs, params, id_col="doc_id", text_col="text", lang_col="lang")
-    rows = docs.withColumn("_text", F.col("text"))
-    out = _predict(rows, langs, net, params, "doc_id")
-    return out.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    # the row travels as one column, whatever its columns are called
+    out = _predict(docs.select(F.struct("*").alias("row"), "text"), langs, net, params)
+    return out.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, cut, table
 from .decontaminate import words
@@ -265,7 +266,7 @@ _RESULT = "score double, evidence array<struct<id:long,similarity:double,toxic:i
 
 
 def _predict(rows: DataFrame, model: ToxicityModel | None, with_evidence: bool) -> DataFrame:
-    """The last column of rows is the text; the others are kept."""
+    """(row, score, evidence) of (row, text)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
@@ -275,31 +276,31 @@ def _predict(rows: DataFrame, model: ToxicityModel | None, with_evidence: bool)
         for b in batches:
             n = b.num_rows
             score, evidence = np.full(n, own.share if own else 0.0), [[] for _ in range(n)]
-            read = [own.vector(reader.terms(t)) for t in b.column(b.num_columns - 1).to_pylist()] if own else []
+            read = [own.vector(reader.terms(t)) for t in b.column(1).to_pylist()] if own else []
             some = np.array([i for i, v in enumerate(read) if v], np.int64)
             if len(some):
                 best, who = own.index.nearest([read[i] for i in some], own.params.k)
                 score[some] = own.score(own.votes(best, who))
                 for i, s, w in zip(some, best, who, strict=True) if with_evidence else ():
                     evidence[i] = [{"id": int(own.ids[j]), "similarity": float(x), "toxic": int(own.toxic[j])} for x, j in zip(s, w, strict=True) if j >= 0]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array(evidence, kind)], names=[*b.schema.names[:-1], "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(evidence, kind)], names=["row", "score", "evidence"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, {_RESULT}")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *T.StructType.fromDDL(_RESULT).fields]))
 
 
 def score(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, held_out, score, predicted, evidence (the neighbours, nearest first)."""
     model = fit(docs, labels, params, id_col=id_col, text_col=text_col)
-    out = _predict(docs.select(F.col(id_col), F.col(text_col).alias("_text")), model, True)
-    return out.select(id_col, (crc_mod(F.col(id_col), params.fold_mod) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    out = _predict(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), model, True)
+    return out.select(F.col("row").alias(id_col), (crc_mod(F.col("row"), params.fold_mod) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The documents that are not predicted toxic: all columns as they are."""
     model = fit(docs, labels, params)
-    out = _predict(docs.withColumn("_text", F.col("text")), model, False)
-    return out.where(F.col("score") < 0.5).select(*docs.columns)
+    # the row travels as one column, whatever its columns are called
+    out = _predict(docs.select(F.struct("*").alias("row"), "text"), model, False)
+    return out.where(F.col("score") < 0.5).select("row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

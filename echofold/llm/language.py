@@ -62,9 +62,15 @@ def fit(docs: DataFrame, params: LanguageParams, *, id_col: str, text_col: str,
     span = F.greatest(F.length(text_col) - params.train_window, F.lit(1))
     cuts = F.array(*(F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(k + 2)), span) + 1).cast("int"), F.lit(params.train_window)) for k in range(params.windows)))
     rows = known.select(F.col(lang_col).alias("lang"), key.alias("key"), cuts.alias("cuts"))
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs).collect())
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs).collect()}
+    langs = sorted(counts)
+    # the least hashes lie below a bound that leaves about four times as many of each language, wherever its rows are
+    low = F.lit(False)
+    for lang, n in counts.items():
+        own = F.col("lang") == lang
+        low = low | (own & (F.col("key") <= int(-(2**63) + 4 * params.per_lang / n * 2**64)) if n > 4 * params.per_lang else own)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "cuts"))
-    sample = rows.where(F.col("lang").isin(langs)).withColumn("nth", nth).where(F.col("nth") <= params.per_lang).select("lang", "nth", "cuts").collect()
+    sample = rows.where(low).withColumn("nth", nth).where(F.col("nth") <= params.per_lang).select("lang", "nth", "cuts").collect()
     x, y = [], []
     for r in sorted(sample, key=lambda r: (r.lang, r.nth)):
         for c in r.cuts:

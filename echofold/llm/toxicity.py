@@ -1,38 +1,41 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples, by exact cosine of weighted TF-IDF vectors.
 
 Examples are a bounded sample of labelled training documents, those with the
 least hash of their id.  Terms are words (runs of letters, digits and non-ASCII
 characters, A-Z lower-cased) and their first 3 to 7 characters, as the stems of
-inflected words.  Terms that occur more often in toxic examples than chance
-explains (a log-likelihood ratio over twice the log of the number of terms
-tried) are the vocabulary; all other words together are one more term, so that a
-single such word in a long text weighs little.  Document frequencies are counted
-over all documents.
-
-The examples' vectors are kept in an inverted index by blocks: for every block
-of examples and term, the postings, and the largest weight.  A query visits the
-blocks in descending order of the bound that the largest weights give, and stops
-when no bound exceeds its k-th best similarity: the k similarities are exact.
+inflected words.  Every term of the examples is in the vocabulary, as its 64-bit
+hash; words that no example has are in no vector.  Document frequencies are
+counted over all documents.  A term's TF-IDF weight is multiplied by
+sqrt(1 + g), g being the log-likelihood ratio by which it is more frequent in
+toxic examples than in others, or 0: likeness in such terms counts for more.
+
+The examples' vectors are kept in an inverted index by blocks of examples.  A
+query adds up the postings of the rarer terms.  The long postings of the
+commonest are held by block with the largest weight of every term; blocks are
+visited in descending order of the bound that this gives, until no bound exceeds
+the k-th best similarity: the k similarities are exact.
 
 The neighbours vote, each by its closeness; votes become probabilities by a
 logistic curve that is fitted to the examples' own votes, each without itself.
 
-Defined results: null and empty texts have no vector and take the share of toxic
-examples; without any labelled example every score is 0; of several labels of an
-id the highest holds; null labels and ids are no examples; among equal
-similarities the order of the blocks decides; repeated rows each get a result;
-other columns do not matter, whatever their names.
+Defined results: null and empty texts, and those without a term of the examples,
+have no vector and take the share of toxic examples; without any labelled
+example every score is 0; of several labels of an id the highest holds; null
+labels and ids are no examples; among equal similarities the order of the blocks
+decides; repeated rows each get a result; other columns do not matter, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +49,11 @@ class ToxicityParams:
     fold_mod: int = 5
     #: Bound of the labelled sample.
     examples: int = 6000
-    #: Bound of the vocabulary.
-    terms: int = 1024
-    min_df: int = 4
     stems: tuple[int, ...] = (3, 4, 5, 6, 7)
     k: int = 15
     block: int = 64
+    #: Commonest terms whose postings are held by block. They bear on time, not on results.
+    dense: int = 2048
     #: Added to a neighbour's distance before its inverse is its vote.
     near: float = 0.05
 
@@ -62,94 +64,138 @@ def features(word: bytes, stems: tuple[int, ...]) -> list[str]:
     return [w, *(w[:n] + "*" for n in stems if len(w) >= n)]
 
 
+#: A text's terms, ascending, and a number for each: how often they occur, or their weights.
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def hashed(word: bytes, stems: tuple[int, ...]) -> list[int]:
+    return [xxhash.xxh64_intdigest(f) for f in features(word, stems)]
+
+
 class Vectors:
-    """Term frequencies of texts over a vocabulary; the last term is all other words."""
+    """Term frequencies of texts over a vocabulary of ascending hashes."""
 
-    def __init__(self, vocabulary: list[str], stems: tuple[int, ...]):
-        self.number, self.stems, self.other = {t: i for i, t in enumerate(vocabulary)}, stems, len(vocabulary)
+    def __init__(self, vocabulary: np.ndarray, stems: tuple[int, ...]):
+        self.vocabulary, self.stems = vocabulary, stems
         self._of: dict[bytes, tuple[int, ...]] = {}
 
-    def terms(self, text: str | None) -> dict[int, int]:
-        if len(self._of) > 500_000:
+    def _learn(self, new: list[bytes]) -> None:
+        """Look the terms of words up, all at once."""
+        own = [hashed(w, self.stems) for w in new]
+        h = np.array([x for o in own for x in o], np.uint64)
+        at = np.searchsorted(self.vocabulary, h)
+        at[at == len(self.vocabulary)] = 0
+        known = (self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)).tolist()
+        at, k = at.tolist(), 0
+        for w, o in zip(new, own, strict=True):
+            self._of[w] = tuple(at[i] for i in range(k, k + len(o)) if known[i])
+            k += len(o)
+
+    def terms(self, text: str | None) -> Vector:
+        counts = Counter(words(text))
+        if len(self._of) > 200_000:
             self._of.clear()
-        found: dict[int, int] = {}
-        others, of = 0, self._of
-        for w, n in Counter(words(text)).items():
-            own = of.get(w)
-            if own is None:
-                own = of[w] = tuple(self.number[t] for t in features(w, self.stems) if t in self.number)
-            if not own:
-                others += n
-            for t in own:
-                found[t] = found.get(t, 0) + n
-        if others:
-            found[self.other] = others
-        return found
+        if new := [w for w in counts if w not in self._of]:
+            self._learn(new)
+        found: list[int] = []
+        sizes = []
+        for w in counts:
+            own = self._of[w]
+            found += own
+            sizes.append(len(own))
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0)
+        t, at = np.unique(np.array(found, np.int32), return_inverse=True)
+        return t, np.bincount(at, weights=np.repeat(np.fromiter(counts.values(), float, len(sizes)), sizes))
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range, one range after another."""
+    return np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _flat(vectors: Sequence[Vector | dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of vectors, which may be dictionaries."""
+    pairs = [(np.fromiter(v.keys(), np.int64, len(v)), np.fromiter(v.values(), np.float32, len(v))) if isinstance(v, dict) else v for v in vectors]
+    row = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
+    none = np.zeros(0)
+    return row, np.concatenate([none, *(t for t, _ in pairs)]).astype(np.int64), np.concatenate([none, *(w for _, w in pairs)]).astype(np.float32)
 
 
 class BlockMaxIndex:
-    """Inverted index of normalised vectors in blocks, with the largest weight of every term in each block."""
+    """Inverted index of normalised vectors. Postings of the commonest terms are in blocks, with the largest weight of every term in each block."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int):
-        self.block, self.n, self.n_terms = block, len(vectors), n_terms
+    def __init__(self, vectors: Sequence[Vector | dict[int, float]], n_terms: int, block: int, dense: int = 2048):
+        self.block, self.n = block, len(vectors)
         self.blocks = max(1, -(-self.n // block))
-        rows = np.repeat(np.arange(self.n), [len(v) for v in vectors])
-        term = np.array([t for v in vectors for t in v], np.int64)
-        weight = np.array([w for v in vectors for w in v.values()], np.float32)
-        key = rows // block * n_terms + term
-        order = np.argsort(key, kind="stable")
-        self.doc, self.weight = (rows % block)[order], weight[order]
-        self.start = np.searchsorted(key[order], np.arange(self.blocks * n_terms + 1))
-        self.largest = np.zeros((self.blocks, n_terms), np.float32)
-        np.maximum.at(self.largest, (rows // block, term), weight)
-
-    def _scores(self, b: int, q: np.ndarray, t: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        """[query, example of the block] similarities, from the queries' (query, term, weight)."""
-        first, end = self.start[b * self.n_terms + t], self.start[b * self.n_terms + t + 1]
-        size = end - first
-        at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        cell = np.repeat(q, size) * self.block + self.doc[at]
-        return np.bincount(cell, weights=np.repeat(w, size) * self.weight[at], minlength=n * self.block).reshape(n, self.block)
-
-    def nearest(self, queries: list[dict[int, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        row, term, weight = _flat(vectors)
+        times = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-times, kind="stable")[:dense]
+        common = common[times[common] > max(1, self.n // 64)]
+        #: Place of a term among the commonest, or -1.
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        own = self.place[term]
+        #: [block, example of the block, common term]
+        self.weights = np.zeros((self.blocks * block, len(common)), np.float32)
+        self.weights[row[own >= 0], own[own >= 0]] = weight[own >= 0]
+        self.weights = self.weights.reshape(self.blocks, block, -1)
+        self.largest = self.weights.max(axis=1)
+        row, term, weight = row[own < 0], term[own < 0], weight[own < 0]
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = row[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
+
+    def nearest(self, queries: Sequence[Vector | dict[int, float]], k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """[query, k] similarities, descending, and the examples' numbers (-1: fewer than k)."""
-        n = len(queries)
-        size = np.array([len(v) for v in queries])
-        q = np.repeat(np.arange(n), size)
-        t = np.array([t for v in queries for t in v], np.int64)
-        w = np.array([x for v in queries for x in v.values()], np.float32)
-        dense = np.zeros((n, self.n_terms), np.float32)
-        dense[q, t] = w
-        bound = dense @ self.largest.T
+        found = [self._nearest(queries[at : at + step], k) for at in range(0, len(queries), step)]
+        if not found:
+            return np.full((0, k), -1.0), np.full((0, k), -1, np.int64)
+        return np.concatenate([b for b, _ in found]), np.concatenate([w for _, w in found])
+
+    def _nearest(self, queries: Sequence[Vector | dict[int, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        n, width = len(queries), self.blocks * self.block
+        q, t, w = _flat(queries)
+        place = self.place[t]
+        dense = np.zeros((n, self.weights.shape[2]), np.float32)
+        dense[q[place >= 0], place[place >= 0]] = w[place >= 0]
+        q, t, w = q[place < 0], t[place < 0], w[place < 0]
+        size = self.start[t + 1] - self.start[t]
+        at = _ranges(self.start[t], size)
+        rare = np.bincount(np.repeat(q * width, size) + self.doc[at], weights=np.repeat(w, size) * self.weight[at], minlength=n * width)
+        rare = rare.reshape(n, self.blocks, self.block)
+        bound = dense @ self.largest.T + rare.max(axis=2)
         order = np.argsort(-bound, axis=1, kind="stable")
-        begin = np.cumsum(size) - size
         best, who = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
         active = np.arange(n)
         for r in range(self.blocks):
             b = order[active, r]
-            on = bound[active, b] > np.maximum(best[active, -1], 0) + 1e-6
+            on = bound[active, b] > np.maximum(best[active, -1], 0) - 1e-5
             active, b = active[on], b[on]
             if not len(active):
                 break
+            s = np.empty((len(active), self.block))
             for own in np.unique(b):
-                of = active[b == own]
-                at = np.repeat(begin[of], size[of]) + np.arange(size[of].sum()) - np.repeat(np.cumsum(size[of]) - size[of], size[of])
-                s = self._scores(int(own), np.repeat(np.arange(len(of)), size[of]), t[at], w[at], len(of))
-                last = min(self.block, self.n - int(own) * self.block)
-                s[:, last:] = -1
-                both = np.concatenate([best[of], s], axis=1)
-                ids = np.concatenate([who[of], np.broadcast_to(own * self.block + np.arange(self.block), s.shape)], axis=1)
-                top = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                best[of], who[of] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
+                of = b == own
+                s[of] = dense[active[of]] @ self.weights[own].T
+            s += rare[active, b]
+            ids = b[:, None] * self.block + np.arange(self.block)
+            s[ids >= self.n] = -1
+            both = np.concatenate([best[active], s], axis=1)
+            ids = np.concatenate([who[active], ids], axis=1)
+            top = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            best[active], who[active] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
         who[best <= 0] = -1
         return best, who
 
 
 @dataclass
 class ToxicityModel:
-    vocabulary: list[str]
+    vocabulary: np.ndarray
+    #: Inverse document frequency times the factor of each term.
     idf: np.ndarray
-    index: BlockMaxIndex
+    #: The examples' terms and how often they occur, in the order of the index.
+    examples: list[Vector]
     ids: np.ndarray
     toxic: np.ndarray
     share: float
@@ -157,7 +203,28 @@ class ToxicityModel:
     curve: tuple[float, float]
     params: ToxicityParams
 
-    def vector(self, terms: dict[int, int]) -> dict[int, float]:
+    def __post_init__(self) -> None:
+        self.index = BlockMaxIndex([weigh(e, self.idf) for e in self.examples], len(self.vocabulary), self.params.block, self.params.dense)
+
+    def __getstate__(self) -> dict:
+        """What is sent: counts, which pack well, instead of the index."""
+        pack = zstandard.ZstdCompressor(3).compress
+        size = np.array([len(t) for t, _ in self.examples])
+        flat = [np.concatenate([np.zeros(0, np.int32), *(np.diff(e[0], prepend=0) if k == 0 else e[1] for e in self.examples)]).astype(np.int32) for k in (0, 1)]
+        # bytes of equal place stand together
+        packed = [pack(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for x in flat]
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples")} | {"packed": (size, *packed)}
+
+    def __setstate__(self, state: dict) -> None:
+        size, *packed = state.pop("packed")
+        self.__dict__.update(state)
+        flat = [np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in packed]
+        cuts = np.cumsum(size)[:-1]
+        gaps, times = (np.split(x, cuts) if len(size) else [] for x in flat)
+        self.examples = [(np.cumsum(g, dtype=np.int32), m) for g, m in zip(gaps, times, strict=True)]
+        self.__post_init__()
+
+    def vector(self, terms: Vector) -> Vector:
         return weigh(terms, self.idf)
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -171,10 +238,10 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * votes + self.curve[1], -30, 30)))
 
 
-def weigh(terms: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    w = {t: (1 + math.log(n)) * idf[t] for t, n in terms.items()}
-    norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-    return {t: x / norm for t, x in w.items()}
+def weigh(terms: Vector, idf: np.ndarray) -> Vector:
+    t, n = terms
+    w = (1 + np.log(n)) * idf[t]
+    return t, (w / (np.linalg.norm(w) or 1.0)).astype(np.float32)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -188,17 +255,40 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(c[0]), float(c[1])
 
 
-def _vocabulary(terms: DataFrame, n: int, n_toxic: int, params: ToxicityParams) -> list[str]:
-    """Terms more frequent in toxic examples than chance explains, from (term, toxic) rows, one for each example."""
-    counted = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")).where(F.col("df") >= params.min_df)
-    counted = cut(counted)
-    tried = max(2, counted.count())
+def _vocabulary(examples: DataFrame, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+    """Every term of the examples (toxic, text), ascending, and its factor."""
+    stems = params.stems
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                own = [np.array(list({h for w in set(words(t)) for h in hashed(w, stems)}), np.uint64) for t in part.column(1).to_pylist()]
+                toxic = np.array(part.column(0).to_pylist())
+                h, at = np.unique(np.concatenate(own), return_inverse=True)
+                df, a = (np.bincount(at, weights=np.repeat(x, [len(o) for o in own]), minlength=len(h)).astype(np.int64) for x in (np.ones(len(own)), toxic))
+                # without a term: the examples that have any
+                some = np.array([len(o) > 0 for o in own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[a, toxic[some].sum()].astype(np.int64)), pa.array(np.r_[df, some.sum()].astype(np.int64))], names=["term", "a", "df"]
+                )
+
+    # as many rows as the bounded sample has terms
+    counted = examples.mapInArrow(split, "term long, a long, df long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("df").alias("df")).toArrow()
+    whole = counted.filter(counted.column(0).is_null())
+    n_toxic, n = (int(whole.column(k)[0].as_py()) if whole.num_rows else 0 for k in (1, 2))
+    found = counted.filter(counted.column(0).is_valid())
+    h, a, df = (found.column(k).to_numpy() for k in range(3))
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0)
     share = n_toxic / n
-    a, df = F.col("a"), F.col("df")
-    plogp = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    g = 2 * (plogp(a, df * share) + plogp(df - a, df * (1 - share)) + plogp(n_toxic - a, (n - df) * share) + plogp((n - df) - (n_toxic - a), (n - df) * (1 - share)))
-    strong = counted.withColumn("g", g).where((a > df * share) & (F.col("g") > 2 * math.log(tried)))
-    return sorted(r.term for r in strong.orderBy(F.desc("g"), "term").limit(params.terms).collect())
+
+    def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-12)), 0.0)
+
+    g = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(n_toxic - a, (n - df) * share) + part((n - df) - (n_toxic - a), (n - df) * (1 - share)))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], np.sqrt(1 + np.where(a > df * share, np.maximum(g, 0), 0))[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
@@ -206,53 +296,47 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     sample = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(params.examples)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     # the sample has a fixed number of rows of two numbers
-    found = texts.join(F.broadcast(sample), "id").select("id", "toxic", "text")
+    found = cut(texts.join(F.broadcast(sample), "id").select(F.col("id").cast("long").alias("id"), "toxic", "text").dropDuplicates(["id"]))
     stems = params.stems
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                own = [sorted({f for w in set(words(t)) for f in features(w, stems)}) for t in part.column(2).to_pylist()]
-                at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([t for x in own for t in x], pa.string())], names=["id", "toxic", "term"])
-
-    terms = cut(found.select(F.col("id").cast("long"), "toxic", "text").mapInArrow(split, "id long, toxic int, term string"))
-    own = terms.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    n, n_toxic = own.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n:
+    vocabulary, factor = _vocabulary(found.select("toxic", "text"), params)
+    if not len(vocabulary):
         return None
-    vocabulary = _vocabulary(terms, n, n_toxic, params)
-    reader = Vectors(vocabulary, stems)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(reader.other + 2, np.int64), 0
+        reader = Vectors(sent.value, stems)
+        df, rows = np.zeros(len(reader.vocabulary) + 1, np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                df[list(reader.terms(t))] += 1
+                df[reader.terms(t)[0]] += 1
                 rows += 1
         df[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "df"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
-    counts = dict(docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect())
-    total = counts[reader.other + 1]
-    idf = np.array([math.log((1 + total) / (1 + counts[t])) + 1 for t in range(reader.other + 1)])
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).toArrow()
+    counts = np.zeros(len(vocabulary) + 1)
+    counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1) * factor
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Vectors(sent.value, stems)
         for b in batches:
             rows = [reader.terms(t) for t in b.column(2).to_pylist()]
-            flat = [pa.array([list(map(f, r.items())) for r in rows], pa.list_(pa.int64())) for f in (lambda x: x[0], lambda x: x[1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *flat], names=["id", "toxic", "terms", "times"])
-
-    # at most `examples` rows of at most `terms` terms
-    rows = found.select(F.col("id").cast("long"), "toxic", "text").mapInArrow(vectors, "id long, toxic int, terms array<long>, times array<long>").dropDuplicates(["id"]).collect()
-    built = [(r.id, r.toxic, weigh(dict(zip(r.terms, r.times, strict=True)), idf)) for r in rows if r.terms]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k].astype(np.int32).tobytes() for r in rows], pa.binary()) for k in (0, 1))], names=["id", "toxic", "terms", "times"])
+
+    # at most `examples` rows
+    rows = found.mapInArrow(vectors, "id long, toxic int, terms binary, times binary").toArrow()
+    built = []
+    for i, y, t, m in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        if t:
+            counts_of = np.frombuffer(t, np.int32), np.frombuffer(m, np.int32)
+            built.append((int(counts_of[0][weigh(counts_of, idf)[1].argmax()]), y, i, counts_of))
     # examples whose heaviest term is the same stand together, so that the bounds of a block are close
-    built.sort(key=lambda e: (max(e[2], key=e[2].get), e[1], e[2].get(reader.other, 0.0), e[0]))
-    ids, toxic = np.array([e[0] for e in built]), np.array([e[1] for e in built], float)
-    index = BlockMaxIndex([e[2] for e in built], reader.other + 1, params.block)
-    model = ToxicityModel(vocabulary, idf, index, ids, toxic, float(toxic.mean()) if len(toxic) else 0.0, (1.0, 0.0), params)
-    best, who = index.nearest([e[2] for e in built], params.k + 1)
+    built.sort(key=lambda e: e[:3])
+    ids, toxic = np.array([e[2] for e in built]), np.array([e[1] for e in built], float)
+    model = ToxicityModel(vocabulary, idf, [e[3] for e in built], ids, toxic, float(toxic.mean()) if len(toxic) else 0.0, (1.0, 0.0), params)
+    best, who = model.index.nearest([weigh(e, idf) for e in model.examples], params.k + 1)
     # without itself: of more equals than k + 1, another one may stand for it
     self_at = who == np.arange(len(built))[:, None]
     drop = np.where(self_at.any(axis=1), self_at.argmax(axis=1), params.k)
@@ -277,7 +361,7 @@ def _predict(rows: DataFrame, model: ToxicityModel | None, with_evidence: bool)
             n = b.num_rows
             score, evidence = np.full(n, own.share if own else 0.0), [[] for _ in range(n)]
             read = [own.vector(reader.terms(t)) for t in b.column(1).to_pylist()] if own else []
-            some = np.array([i for i, v in enumerate(read) if v], np.int64)
+            some = np.array([i for i, v in enumerate(read) if len(v[0])], np.int64)
             if len(some):
                 best, who = own.index.nearest([read[i] for i in some], own.params.k)
                 score[some] = own.score(own.votes(best, who))

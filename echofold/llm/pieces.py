@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Lookup, ranges, table
 
 SPACE = "▁"
 #: Characters between two looks at whether all paths have met.
@@ -90,11 +90,6 @@ class Vocabulary:
         return cls(tuple(pieces), tuple(scores), tuple(spelled[b] for b in range(256)), frozenset(usable))
 
 
-def _ranges(size: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each size, one range after another."""
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-
-
 def _utf8(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """([character, 4] bytes, how many) of code points, surrogates included; what is beyond is 256."""
     size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
@@ -119,41 +114,16 @@ class _Trie:
         inner = [p for p in node_of if p]
         keys = np.array([node_of[p[:-1]] * self.width + int(self.letter[ord(p[-1])]) for p in inner], np.int64)
         child = np.array([node_of[p] for p in inner], np.int64)
-        # open addressing, a quarter full at most; every edge is entered at the first free place after its own
-        self.bits = max(4, (4 * len(keys)).bit_length())
-        self.keys, self.child = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
-        at, left = self._place(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.keys[at[left]] < 0]
-            _, one = np.unique(at[free], return_index=True)
-            put = free[one]
-            self.keys[at[put]], self.child[at[put]] = keys[put], child[put]
-            left = left[self.keys[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        self.edges, self.child = Lookup(keys), np.r_[child, 0]
         #: The piece that ends at a node, or -1; the log-probability of each piece.
         self.id = np.full(len(node_of), -1, np.int32)
         self.score_of = np.zeros(1 + max(i for _, (i,) in piece.values()))
         for p, (score, (i,)) in piece.items():
             self.id[node_of[p]], self.score_of[i] = i, score
 
-    def _place(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The child of each node under a letter, or 0."""
-        key = node * self.width + letter
-        at = self._place(key)
-        held = self.keys[at]
-        out = np.where(held == key, self.child[at], 0)
-        look = np.flatnonzero((held != key) & (held >= 0))
-        while len(look):
-            at[look] = (at[look] + 1) & (len(self.keys) - 1)
-            held = self.keys[at[look]]
-            hit = held == key[look]
-            out[look[hit]] = self.child[at[look[hit]]]
-            look = look[~hit & (held >= 0)]
-        out[letter == 0] = 0
-        return out
+        return self.child[self.edges.get(node * self.width + letter)]
 
 
 class Encoder:
@@ -300,7 +270,7 @@ class Encoder:
         data, sizes = _utf8(np.where(flat < 0, -1 - flat, 0))
         times = np.where(flat < 0, sizes, 1)
         out = np.repeat(flat, times)
-        byte = data[np.repeat(np.arange(len(flat)), times), _ranges(times)]
+        byte = data[np.repeat(np.arange(len(flat)), times), ranges(times)]
         out = np.where(out < 0, self.bytes_at[byte], out)
         return out, np.add.reduceat(times, stop - n_ids)
 
@@ -319,7 +289,7 @@ class Encoder:
         while at < short:
             end = min(short, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _LANE_CHARS))))
             own = order[at:end]
-            ids, n_ids[own] = self._lanes(code[_ranges(size[own]) + np.repeat(border[own], size[own])], size[own])
+            ids, n_ids[own] = self._lanes(code[ranges(size[own]) + np.repeat(border[own], size[own])], size[own])
             parts.append(ids)
             at = end
         for k in order[short:]:
@@ -331,7 +301,7 @@ class Encoder:
         n = n_ids[order]
         begin = np.empty(len(order), np.int64)
         begin[order] = np.cumsum(n) - n
-        return flat[np.repeat(begin, n_ids) + _ranges(n_ids)], n_ids
+        return flat[np.repeat(begin, n_ids) + ranges(n_ids)], n_ids
 
     def _starts(self, flat: np.ndarray, data: bytes, begin: np.ndarray) -> np.ndarray:
         """Where the chunks of texts begin that stand one after another."""
@@ -365,7 +335,7 @@ class Encoder:
         flat, n = self._learn(found.dictionary)
         per = n[which]
         ends = np.cumsum(per)
-        ids = flat[np.repeat((np.cumsum(n) - n)[which], per) + _ranges(per)]
+        ids = flat[np.repeat((np.cumsum(n) - n)[which], per) + ranges(per)]
         return np.split(ids, np.r_[0, ends][np.searchsorted(start, begin[1:])])
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:

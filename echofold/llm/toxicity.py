@@ -2,7 +2,7 @@
 
 Examples are a bounded sample of labelled training documents, those with the
 least hash of their id.  Terms are words (runs of letters, digits and non-ASCII
-characters, A-Z lower-cased) and their first 3 to 7 characters, as the stems of
+characters, A-Z lower-cased) and their first characters, as the stems of
 inflected words.  Every term of the examples is in the vocabulary, as its 64-bit
 hash; words that no example has are in no vector.  Document frequencies are
 counted over all documents.  A term's TF-IDF weight is multiplied by
@@ -11,37 +11,38 @@ toxic examples than in others, or 0: likeness in such terms counts for more.
 
 The examples' vectors are kept in an inverted index by blocks of examples.  A
 query adds up the postings of the rarer terms.  The long postings of the
-commonest are held by block with the largest weight of every term; blocks are
-visited in descending order of the bound that this gives, until no bound exceeds
-the k-th best similarity: the k similarities are exact.
+commonest are held by block with the largest weight of every term; a block is
+left out where the bound that this gives does not reach the k-th best similarity
+so far: the k similarities are exact.  They are told apart to a millionth, and
+of equals the least id comes first.
 
 The neighbours vote, each by its closeness; votes become probabilities by a
-logistic curve that is fitted to the examples' own votes, each without itself.
+logistic curve.  It is fitted to the examples' own votes, each without itself,
+and with factors that the other half of the examples gave: no label takes part
+both in the choice of a vote's factors and in the curve.
 
 Defined results: null and empty texts, and those without a term of the examples,
 have no vector and take the share of toxic examples; without any labelled
-example every score is 0; of several labels of an id the highest holds; null
-labels and ids are no examples; among equal similarities the order of the blocks
-decides; repeated rows each get a result; other columns do not matter, whatever
-their names.
+example every score is 0; of several labels of an id the highest holds, of
+several texts the least; null labels and ids are no examples; repeated rows each
+get a result; ids may be of any type; other columns do not matter, whatever
+their names; a very long text is read in parts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, cut, table
-from .decontaminate import words
+from .common import Lookup, crc_mod, cut, powers, runs, table
+from .decontaminate import WORDS
 
 
 @dataclass(frozen=True)
@@ -49,86 +50,106 @@ class ToxicityParams:
     fold_mod: int = 5
     #: Bound of the labelled sample.
     examples: int = 6000
-    stems: tuple[int, ...] = (3, 4, 5, 6, 7)
-    k: int = 15
-    block: int = 64
+    stems: tuple[int, ...] = (4, 6)
+    k: int = 5
+    block: int = 256
     #: Commonest terms whose postings are held by block. They bear on time, not on results.
-    dense: int = 2048
+    dense: int = 1024
     #: Added to a neighbour's distance before its inverse is its vote.
     near: float = 0.05
 
 
-def features(word: bytes, stems: tuple[int, ...]) -> list[str]:
-    """The terms of a word: itself, and its first characters marked as a stem."""
-    w = word.decode("utf-8", "replace")
-    return [w, *(w[:n] + "*" for n in stems if len(w) >= n)]
-
-
-#: A text's terms, ascending, and a number for each: how often they occur, or their weights.
-Vector = tuple[np.ndarray, np.ndarray]
-
-
-def hashed(word: bytes, stems: tuple[int, ...]) -> list[int]:
-    return [xxhash.xxh64_intdigest(f) for f in features(word, stems)]
+#: Texts, and queries, that are worked on at once.
+_ROWS, _QUERIES = 256, 32
+#: Similarities are kept as millionths, beside an example's place among the ids.
+_UNIT, _PLACE = 1e6, 20
+_MIX = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0x94D049BB133111EB)]
 
 
+@dataclass
 class Vectors:
-    """Term frequencies of texts over a vocabulary of ascending hashes."""
+    """Sparse rows: (row, term, weight), ascending by row and term."""
+
+    n: int
+    row: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+
+    def rows(self, first: int, end: int) -> Vectors:
+        a, b = np.searchsorted(self.row, (first, end))
+        return Vectors(end - first, self.row[a:b] - first, self.term[a:b], self.weight[a:b])
+
+
+def term_hashes(words: pa.BinaryArray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """([word, 1 + stem] hashes of each word and of its first characters, which of them there are)."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    first, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    up, back = powers(1 << len(data).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    chars = np.flatnonzero((data & 0xC0) != 0x80)
+    at = np.searchsorted(chars, first)
+    n = np.searchsorted(chars, end) - at
+    chars = np.r_[chars, len(data)]
+    out, some = np.empty((len(first), 1 + len(stems)), np.uint64), np.ones((len(first), 1 + len(stems)), bool)
+    for j, length in enumerate((0, *stems)):
+        stop = np.where(n > length, chars[np.minimum(at + length, len(chars) - 1)], end) if length else end
+        h = (sums[stop] - sums[first]) * back[first]
+        h = (h ^ (h >> np.uint64(31)) ^ (_MIX[2] if length else np.uint64(0))) * _MIX[0]
+        out[:, j] = (h ^ (h >> np.uint64(29))) * _MIX[1]
+        some[:, j] = n >= length
+    return out, some
+
+
+class Reader:
+    """Term frequencies of texts over a vocabulary of hashes."""
 
     def __init__(self, vocabulary: np.ndarray, stems: tuple[int, ...]):
-        self.vocabulary, self.stems = vocabulary, stems
-        self._of: dict[bytes, tuple[int, ...]] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Look the terms of words up, all at once."""
-        own = [hashed(w, self.stems) for w in new]
-        h = np.array([x for o in own for x in o], np.uint64)
-        at = np.searchsorted(self.vocabulary, h)
-        at[at == len(self.vocabulary)] = 0
-        known = (self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)).tolist()
-        at, k = at.tolist(), 0
-        for w, o in zip(new, own, strict=True):
-            self._of[w] = tuple(at[i] for i in range(k, k + len(o)) if known[i])
-            k += len(o)
-
-    def terms(self, text: str | None) -> Vector:
-        counts = Counter(words(text))
-        if len(self._of) > 200_000:
-            self._of.clear()
-        if new := [w for w in counts if w not in self._of]:
-            self._learn(new)
-        found: list[int] = []
-        sizes = []
-        for w in counts:
-            own = self._of[w]
-            found += own
-            sizes.append(len(own))
-        if not found:
-            return np.zeros(0, np.int32), np.zeros(0)
-        t, at = np.unique(np.array(found, np.int32), return_inverse=True)
-        return t, np.bincount(at, weights=np.repeat(np.fromiter(counts.values(), float, len(sizes)), sizes))
-
-
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers first, first + 1, ... of each range, one range after another."""
-    return np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-
-
-def _flat(vectors: Sequence[Vector | dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of vectors, which may be dictionaries."""
-    pairs = [(np.fromiter(v.keys(), np.int64, len(v)), np.fromiter(v.values(), np.float32, len(v))) if isinstance(v, dict) else v for v in vectors]
-    row = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
-    none = np.zeros(0)
-    return row, np.concatenate([none, *(t for t, _ in pairs)]).astype(np.int64), np.concatenate([none, *(w for _, w in pairs)]).astype(np.float32)
+        self.stems, self.terms, self.of = stems, len(vocabulary), Lookup(vocabulary)
+
+    def read(self, texts: list[bytes]) -> Vectors:
+        """How often each text has each term."""
+        keys, weights = [], []
+        for owner, found in runs(texts, WORDS):
+            words = found.dictionary
+            if not len(words):
+                continue
+            hashes, some = term_hashes(words, self.stems)
+            term = np.where(some, self.of.get(hashes.ravel()).reshape(hashes.shape), -1)
+            key, times = np.unique(owner * len(words) + found.indices.to_numpy(), return_counts=True)
+            terms = term[key % len(words)]
+            known = terms >= 0
+            keys.append((np.repeat(key // len(words), known.sum(axis=1)) * self.terms + terms[known]))
+            weights.append(np.repeat(times, known.sum(axis=1)))
+        if not keys:
+            return Vectors(len(texts), *(np.zeros(0, np.int32) for _ in range(3)))
+        key, times = np.concatenate(keys), np.concatenate(weights)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+        # half the bytes serve: rows, terms and times fit 32 bits
+        small = [key[first] // self.terms, key[first] % self.terms, np.add.reduceat(times[order], first) if len(key) else times]
+        return Vectors(len(texts), *(x.astype(np.int32) for x in small))
+
+
+def weigh(counts: Vectors, idf: np.ndarray) -> Vectors:
+    """Unit vectors of term frequencies."""
+    w = np.log(counts.weight.astype(np.float32))
+    w += 1
+    w *= idf.astype(np.float32)[counts.term]
+    norm = np.sqrt(np.bincount(counts.row, weights=w * w, minlength=counts.n)).astype(np.float32)
+    w /= norm[counts.row]
+    return Vectors(counts.n, counts.row, counts.term, w)
 
 
 class BlockMaxIndex:
-    """Inverted index of normalised vectors. Postings of the commonest terms are in blocks, with the largest weight of every term in each block."""
+    """Inverted index of unit vectors. Postings of the commonest terms are in blocks, with the largest weight of every term in each block."""
 
-    def __init__(self, vectors: Sequence[Vector | dict[int, float]], n_terms: int, block: int, dense: int = 2048):
-        self.block, self.n = block, len(vectors)
+    def __init__(self, vectors: Vectors, n_terms: int, block: int, dense: int = 1024, place: np.ndarray | None = None):
+        self.block, self.n = block, vectors.n
         self.blocks = max(1, -(-self.n // block))
-        row, term, weight = _flat(vectors)
+        row, term, weight = vectors.row, vectors.term, vectors.weight.astype(np.float32)
         times = np.bincount(term, minlength=n_terms)
         common = np.argsort(-times, kind="stable")[:dense]
         common = common[times[common] > max(1, self.n // 64)]
@@ -136,57 +157,63 @@ class BlockMaxIndex:
         self.place = np.full(n_terms, -1, np.int32)
         self.place[common] = np.arange(len(common))
         own = self.place[term]
-        #: [block, example of the block, common term]
-        self.weights = np.zeros((self.blocks * block, len(common)), np.float32)
-        self.weights[row[own >= 0], own[own >= 0]] = weight[own >= 0]
-        self.weights = self.weights.reshape(self.blocks, block, -1)
-        self.largest = self.weights.max(axis=1)
+        weights = np.zeros((self.blocks * block, len(common)), np.float32)
+        weights[row[own >= 0], own[own >= 0]] = weight[own >= 0]
+        weights = weights.reshape(self.blocks, block, -1)
+        self.largest = weights.max(axis=1)
+        #: [block, common term, example of the block]
+        self.weights = np.ascontiguousarray(weights.transpose(0, 2, 1))
         row, term, weight = row[own < 0], term[own < 0], weight[own < 0]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = row[order].astype(np.int32), weight[order]
-        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
-
-    def nearest(self, queries: Sequence[Vector | dict[int, float]], k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """[query, k] similarities, descending, and the examples' numbers (-1: fewer than k)."""
-        found = [self._nearest(queries[at : at + step], k) for at in range(0, len(queries), step)]
-        if not found:
-            return np.full((0, k), -1.0), np.full((0, k), -1, np.int64)
-        return np.concatenate([b for b, _ in found]), np.concatenate([w for _, w in found])
-
-    def _nearest(self, queries: Sequence[Vector | dict[int, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        n, width = len(queries), self.blocks * self.block
-        q, t, w = _flat(queries)
-        place = self.place[t]
-        dense = np.zeros((n, self.weights.shape[2]), np.float32)
-        dense[q[place >= 0], place[place >= 0]] = w[place >= 0]
-        q, t, w = q[place < 0], t[place < 0], w[place < 0]
-        size = self.start[t + 1] - self.start[t]
-        at = _ranges(self.start[t], size)
-        rare = np.bincount(np.repeat(q * width, size) + self.doc[at], weights=np.repeat(w, size) * self.weight[at], minlength=n * width)
-        rare = rare.reshape(n, self.blocks, self.block)
+        #: An example's number and its weight's bits side by side, so that both come with one look.
+        self.posting = np.stack([row[order].astype(np.int32), weight[order].view(np.int32)], axis=1).view(np.int64)[:, 0]
+        self.start = np.searchsorted(term[order], np.arange(n_terms + 1, dtype=term.dtype))
+        # the lower an example's place among the ids, the higher its key among equal similarities
+        places = np.zeros(self.blocks * block, np.int64)
+        places[: self.n] = np.arange(self.n) if place is None else place
+        self.example = np.argsort(places[: self.n])
+        self.low = ((1 << _PLACE) - 1 - places).reshape(self.blocks, block)
+
+    def nearest(self, queries: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """[query, k] similarities, descending, and the examples' numbers (-1: fewer than k are alike at all)."""
+        keys = np.full((queries.n, k), -1, np.int64)
+        for at in range(0, queries.n, _QUERIES):
+            end = min(queries.n, at + _QUERIES)
+            keys[at:end] = self._nearest(queries.rows(at, end), k)
+        low = (1 << _PLACE) - 1
+        who = np.where(keys >= 0, self.example[np.minimum(low - (keys & low), max(0, self.n - 1))] if self.n else -1, -1)
+        return np.where(keys >= 0, (keys >> _PLACE) / _UNIT, 0.0), who
+
+    def _nearest(self, q: Vectors, k: int) -> np.ndarray:
+        width = self.blocks * self.block
+        place = self.place[q.term]
+        common = place >= 0
+        dense = np.zeros((q.n, self.weights.shape[1]), np.float32)
+        dense[q.row[common], place[common]] = q.weight[common]
+        row, term, weight = q.row[~common], q.term[~common], q.weight[~common]
+        size = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        found = self.posting[at].view(np.int32).reshape(-1, 2)
+        spot = np.repeat((row * width).astype(np.int32), size)
+        spot += found[:, 0]
+        share = np.repeat(weight, size)
+        share *= found[:, 1].view(np.float32)
+        rare = np.bincount(spot, weights=share, minlength=q.n * width).reshape(q.n, self.blocks, self.block)
         bound = dense @ self.largest.T + rare.max(axis=2)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        best, who = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
-        active = np.arange(n)
-        for r in range(self.blocks):
-            b = order[active, r]
-            on = bound[active, b] > np.maximum(best[active, -1], 0) - 1e-5
-            active, b = active[on], b[on]
-            if not len(active):
-                break
-            s = np.empty((len(active), self.block))
-            for own in np.unique(b):
-                of = b == own
-                s[of] = dense[active[of]] @ self.weights[own].T
-            s += rare[active, b]
-            ids = b[:, None] * self.block + np.arange(self.block)
-            s[ids >= self.n] = -1
-            both = np.concatenate([best[active], s], axis=1)
-            ids = np.concatenate([who[active], ids], axis=1)
-            top = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            best[active], who[active] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
-        who[best <= 0] = -1
-        return best, who
+        best = np.full((q.n, k), -1, np.int64)
+        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
+            # a bound that only just misses may be a matter of rounding
+            on = np.flatnonzero(bound[:, b] * _UNIT > (best.min(axis=1) >> _PLACE) - 10)
+            if not len(on):
+                continue
+            s = (dense if len(on) == q.n else dense[on]) @ self.weights[b]
+            unit = np.rint((s + rare[on, b]) * _UNIT).astype(np.int64)
+            keys = np.where(unit > 0, (unit << _PLACE) | self.low[b], -1)
+            more = keys.max(axis=1) > best[on].min(axis=1)
+            on, keys = on[more], keys[more]
+            best[on] = np.partition(np.concatenate([best[on], keys], axis=1), self.block, axis=1)[:, self.block :]
+        return -np.sort(-best, axis=1)
 
 
 @dataclass
@@ -194,9 +221,11 @@ class ToxicityModel:
     vocabulary: np.ndarray
     #: Inverse document frequency times the factor of each term.
     idf: np.ndarray
-    #: The examples' terms and how often they occur, in the order of the index.
-    examples: list[Vector]
-    ids: np.ndarray
+    #: How often the examples have their terms, in the order of the index.
+    examples: Vectors
+    #: Ids in that order, and each one's place among them all.
+    ids: list
+    place: np.ndarray
     toxic: np.ndarray
     share: float
     #: Slope and offset of the logistic curve over a vote's log-odds.
@@ -204,29 +233,24 @@ class ToxicityModel:
     params: ToxicityParams
 
     def __post_init__(self) -> None:
-        self.index = BlockMaxIndex([weigh(e, self.idf) for e in self.examples], len(self.vocabulary), self.params.block, self.params.dense)
+        self.index = self.index_of(self.idf)
+
+    def index_of(self, idf: np.ndarray) -> BlockMaxIndex:
+        return BlockMaxIndex(weigh(self.examples, idf), len(self.vocabulary), self.params.block, self.params.dense, self.place)
 
     def __getstate__(self) -> dict:
         """What is sent: counts, which pack well, instead of the index."""
-        pack = zstandard.ZstdCompressor(3).compress
-        size = np.array([len(t) for t, _ in self.examples])
-        flat = [np.concatenate([np.zeros(0, np.int32), *(np.diff(e[0], prepend=0) if k == 0 else e[1] for e in self.examples)]).astype(np.int32) for k in (0, 1)]
-        # bytes of equal place stand together
-        packed = [pack(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for x in flat]
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples")} | {"packed": (size, *packed)}
+        e, pack = self.examples, zstandard.ZstdCompressor(3).compress
+        packed = [pack(np.ascontiguousarray(x.astype(np.int32)).view(np.uint8).reshape(-1, 4).T.tobytes()) for x in (np.diff(e.row, prepend=0), np.diff(e.term, prepend=0), e.weight)]
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples")} | {"packed": (e.n, *packed)}
 
     def __setstate__(self, state: dict) -> None:
-        size, *packed = state.pop("packed")
+        n, *packed = state.pop("packed")
         self.__dict__.update(state)
-        flat = [np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in packed]
-        cuts = np.cumsum(size)[:-1]
-        gaps, times = (np.split(x, cuts) if len(size) else [] for x in flat)
-        self.examples = [(np.cumsum(g, dtype=np.int32), m) for g, m in zip(gaps, times, strict=True)]
+        row, term, weight = (np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in packed)
+        self.examples = Vectors(n, np.cumsum(row, dtype=np.int32), np.cumsum(term, dtype=np.int32), weight)
         self.__post_init__()
 
-    def vector(self, terms: Vector) -> Vector:
-        return weigh(terms, self.idf)
-
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
         """Log-odds of the neighbours' votes; a vote of the examples' share is added to each side."""
         say = np.where(who >= 0, 1 / (self.params.near + np.clip(1 - best, 0, 1)), 0)
@@ -238,12 +262,6 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * votes + self.curve[1], -30, 30)))
 
 
-def weigh(terms: Vector, idf: np.ndarray) -> Vector:
-    t, n = terms
-    w = (1 + np.log(n)) * idf[t]
-    return t, (w / (np.linalg.norm(w) or 1.0)).astype(np.float32)
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the likeliest logistic curve, by Newton steps with a small ridge."""
     a = np.stack([x, np.ones_like(x)], axis=1)
@@ -255,127 +273,160 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(c[0]), float(c[1])
 
 
-def _vocabulary(examples: DataFrame, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
-    """Every term of the examples (toxic, text), ascending, and its factor."""
-    stems = params.stems
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                own = [np.array(list({h for w in set(words(t)) for h in hashed(w, stems)}), np.uint64) for t in part.column(1).to_pylist()]
-                toxic = np.array(part.column(0).to_pylist())
-                h, at = np.unique(np.concatenate(own), return_inverse=True)
-                df, a = (np.bincount(at, weights=np.repeat(x, [len(o) for o in own]), minlength=len(h)).astype(np.int64) for x in (np.ones(len(own)), toxic))
-                # without a term: the examples that have any
-                some = np.array([len(o) > 0 for o in own])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[a, toxic[some].sum()].astype(np.int64)), pa.array(np.r_[df, some.sum()].astype(np.int64))], names=["term", "a", "df"]
-                )
-
-    # as many rows as the bounded sample has terms
-    counted = examples.mapInArrow(split, "term long, a long, df long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("df").alias("df")).toArrow()
-    whole = counted.filter(counted.column(0).is_null())
-    n_toxic, n = (int(whole.column(k)[0].as_py()) if whole.num_rows else 0 for k in (1, 2))
-    found = counted.filter(counted.column(0).is_valid())
-    h, a, df = (found.column(k).to_numpy() for k in range(3))
+def factors(examples: Vectors, toxic: np.ndarray, n_terms: int, own: np.ndarray) -> np.ndarray:
+    """sqrt(1 + log-likelihood ratio) of the terms that are more frequent in toxic examples, among the examples ``own``; 1 for all others."""
+    on = own[examples.row]
+    df = np.bincount(examples.term[on], minlength=n_terms)
+    a = np.bincount(examples.term[on], weights=toxic[examples.row[on]], minlength=n_terms)
+    n, bad = int(own.sum()), toxic[own].sum()
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    share = n_toxic / n
+        return np.ones(n_terms)
+    share = bad / n
 
     def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-12)), 0.0)
 
-    g = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(n_toxic - a, (n - df) * share) + part((n - df) - (n_toxic - a), (n - df) * (1 - share)))
-    order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], np.sqrt(1 + np.where(a > df * share, np.maximum(g, 0), 0))[order]
+    g = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(bad - a, (n - df) * share) + part((n - df) - (bad - a), (n - df) * (1 - share)))
+    return np.sqrt(1 + np.where(a > df * share, np.maximum(g, 0), 0))
+
+
+def build(vocabulary: np.ndarray, idf: np.ndarray, counts: Vectors, ids: list, toxic: np.ndarray, params: ToxicityParams) -> ToxicityModel:
+    """The model of examples that have a term each."""
+    n, terms = counts.n, len(vocabulary)
+    whole = idf * factors(counts, toxic, terms, np.ones(n, bool))
+    # examples whose heaviest term is the same stand together, so that the bounds of a block are close
+    w = weigh(counts, whole)
+    heavy = np.lexsort((w.weight, w.row))[np.cumsum(np.bincount(w.row, minlength=n)) - 1]
+    place = np.empty(n, np.int64)
+    place[sorted(range(n), key=lambda i: ids[i])] = np.arange(n)
+    order = np.lexsort((place, toxic, w.term[heavy]))
+    at = np.empty(n, np.int32)
+    at[order] = np.arange(n)
+    # whole rows change places, and the order of terms within them stays
+    moved = np.argsort(at[counts.row], kind="stable")
+    counts = Vectors(n, at[counts.row[moved]], counts.term[moved], counts.weight[moved])
+    del w, moved
+    ids, toxic, place = [ids[i] for i in order], toxic[order].astype(float), place[order]
+    model = ToxicityModel(vocabulary, whole, counts, ids, place, toxic, float(toxic.mean()), (1.0, 0.0), params)
+    # every example's vote: without itself, and with the factors of the half it is not in
+    half, votes = place % 2, np.zeros(n)
+    for h in (0, 1):
+        own = np.flatnonzero(half == h)
+        if not len(own):
+            continue
+        other = idf * factors(counts, toxic, terms, half != h)
+        asked = weigh(counts, other)
+        on = half[asked.row] == h
+        nth = np.cumsum(half == h) - 1
+        best, who = model.index_of(other).nearest(Vectors(len(own), nth[asked.row[on]], asked.term[on], asked.weight[on]), params.k + 1)
+        # of more equals than k + 1, another one may stand for it
+        self_at = who == own[:, None]
+        drop = np.where(self_at.any(axis=1), self_at.argmax(axis=1), params.k)
+        keep = np.arange(params.k + 1)[None] != drop[:, None]
+        votes[own] = model.votes(best[keep].reshape(-1, params.k), who[keep].reshape(-1, params.k))
+    model.curve = _logistic(votes, toxic)
+    return model
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod(F.col("id"), params.fold_mod) != 0))
     sample = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(params.examples)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    # the sample has a fixed number of rows of two numbers
-    found = cut(texts.join(F.broadcast(sample), "id").select(F.col("id").cast("long").alias("id"), "toxic", "text").dropDuplicates(["id"]))
+    # the sample has a fixed number of rows of two values
+    found = cut(texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
     stems = params.stems
-    vocabulary, factor = _vocabulary(found.select("toxic", "text"), params)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                parts = [h[some] for _, words in runs(_texts(b.column(0).slice(at, _ROWS)), WORDS) for h, some in [term_hashes(words.dictionary, stems)] if len(words)]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view(np.int64))], names=["term"])
+
+    # as many rows as the bounded sample has terms
+    vocabulary = np.sort(found.select("text").mapInArrow(distinct, "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
     if not len(vocabulary):
         return None
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Vectors(sent.value, stems)
-        df, rows = np.zeros(len(reader.vocabulary) + 1, np.int64), 0
+        reader, rows = Reader(sent.value, stems), 0
+        df = np.zeros(reader.terms + 1, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                df[reader.terms(t)[0]] += 1
-                rows += 1
+            for at in range(0, b.num_rows, _ROWS):
+                df[:-1] += np.bincount(reader.read(_texts(b.column(0).slice(at, _ROWS))).term, minlength=reader.terms)
+            rows += b.num_rows
         df[-1] = rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).toArrow()
-    counts = np.zeros(len(vocabulary) + 1)
-    counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
-    idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1) * factor
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Vectors(sent.value, stems)
+        reader = Reader(sent.value, stems)
         for b in batches:
-            rows = [reader.terms(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k].astype(np.int32).tobytes() for r in rows], pa.binary()) for k in (0, 1))], names=["id", "toxic", "terms", "times"])
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                v = reader.read(_texts(part.column(2)))
+                cuts = np.searchsorted(v.row, np.arange(1, v.n))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x.astype(np.int32).tobytes() for x in np.split(y, cuts)], pa.binary()) for y in (v.term, v.weight))], names=["id", "toxic", "terms", "times"])
 
+    kind = T.StructType([found.schema["id"], *T.StructType.fromDDL("toxic int, terms binary, times binary").fields])
     # at most `examples` rows
-    rows = found.mapInArrow(vectors, "id long, toxic int, terms binary, times binary").toArrow()
-    built = []
-    for i, y, t, m in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-        if t:
-            counts_of = np.frombuffer(t, np.int32), np.frombuffer(m, np.int32)
-            built.append((int(counts_of[0][weigh(counts_of, idf)[1].argmax()]), y, i, counts_of))
-    # examples whose heaviest term is the same stand together, so that the bounds of a block are close
-    built.sort(key=lambda e: e[:3])
-    ids, toxic = np.array([e[2] for e in built]), np.array([e[1] for e in built], float)
-    model = ToxicityModel(vocabulary, idf, [e[3] for e in built], ids, toxic, float(toxic.mean()) if len(toxic) else 0.0, (1.0, 0.0), params)
-    best, who = model.index.nearest([weigh(e, idf) for e in model.examples], params.k + 1)
-    # without itself: of more equals than k + 1, another one may stand for it
-    self_at = who == np.arange(len(built))[:, None]
-    drop = np.where(self_at.any(axis=1), self_at.argmax(axis=1), params.k)
-    keep = np.arange(params.k + 1)[None] != drop[:, None]
-    x = model.votes(best[keep].reshape(-1, params.k), who[keep].reshape(-1, params.k))
-    model.curve = _logistic(x, toxic)
-    return model
-
+    rows = [r for r in zip(*(c.to_pylist() for c in found.select("id", "toxic", "text").mapInArrow(vectors, kind).toArrow().columns), strict=True) if r[2]]
+    if not rows:
+        return None
+    term, times = (np.frombuffer(b"".join(r[k] for r in rows), np.int32) for k in (2, 3))
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 4 for r in rows])
+    ids, toxic = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+    del rows
+    return build(vocabulary, idf, Vectors(len(ids), row, term, times), ids, toxic, params)
 
-_RESULT = "score double, evidence array<struct<id:long,similarity:double,toxic:int>>"
 
+def _predict(rows: DataFrame, model: ToxicityModel | None, id_type: T.DataType | None) -> DataFrame:
+    """(row, score, and, where ids have a type, evidence) of (row, text)."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _predict(rows: DataFrame, model: ToxicityModel | None, with_evidence: bool) -> DataFrame:
-    """(row, score, evidence) of (row, text)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+    own_id = None if id_type is None else to_arrow_type(id_type)
+    fields = [rows.schema["row"], T.StructField("score", T.DoubleType())]
+    if id_type is not None:
+        fields.append(T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("similarity double, toxic int").fields]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        reader = Vectors(own.vocabulary, own.params.stems) if own else None
-        for b in batches:
-            n = b.num_rows
-            score, evidence = np.full(n, own.share if own else 0.0), [[] for _ in range(n)]
-            read = [own.vector(reader.terms(t)) for t in b.column(1).to_pylist()] if own else []
-            some = np.array([i for i, v in enumerate(read) if len(v[0])], np.int64)
-            if len(some):
-                best, who = own.index.nearest([read[i] for i in some], own.params.k)
-                score[some] = own.score(own.votes(best, who))
-                for i, s, w in zip(some, best, who, strict=True) if with_evidence else ():
-                    evidence[i] = [{"id": int(own.ids[j]), "similarity": float(x), "toxic": int(own.toxic[j])} for x, j in zip(s, w, strict=True) if j >= 0]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(evidence, kind)], names=["row", "score", "evidence"])
-
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *T.StructType.fromDDL(_RESULT).fields]))
+        reader = Reader(own.vocabulary, own.params.stems) if own else None
+        ids = None if own is None or own_id is None else pa.array(own.ids, own_id)
+        for part in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+            n = part.num_rows
+            score, best, who = np.full(n, own.share if own else 0.0), np.zeros((n, 0)), np.zeros((n, 0), np.int64)
+            if own:
+                read = reader.read(_texts(part.column(1)))
+                best, who = own.index.nearest(weigh(read, own.idf), own.params.k)
+                some = np.bincount(read.row, minlength=n) > 0
+                score[some] = own.score(own.votes(best[some], who[some]))
+            cols = [part.column(0), pa.array(score)]
+            if own_id is not None:
+                on = who >= 0
+                of = pa.array(who[on])
+                items = [ids.take(of) if ids is not None else pa.nulls(0, own_id), pa.array(best[on]), pa.array((own.toxic[who[on]] if own else np.zeros(0)).astype(np.int32))]
+                cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(on.sum(axis=1))], pa.int32()), pa.StructArray.from_arrays(items, ["id", "similarity", "toxic"])))
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def score(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, held_out, score, predicted, evidence (the neighbours, nearest first)."""
     model = fit(docs, labels, params, id_col=id_col, text_col=text_col)
-    out = _predict(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), model, True)
+    out = _predict(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), model, docs.schema[id_col].dataType)
     return out.select(F.col("row").alias(id_col), (crc_mod(F.col("row"), params.fold_mod) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -383,7 +434,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
     """The documents that are not predicted toxic: all columns as they are."""
     model = fit(docs, labels, params)
     # the row travels as one column, whatever its columns are called
-    out = _predict(docs.select(F.struct("*").alias("row"), "text"), model, False)
+    out = _predict(docs.select(F.struct("*").alias("row"), "text"), model, None)
     return out.where(F.col("score") < 0.5).select("row.*")
 
 

@@ -7,7 +7,7 @@ import pytest
 from llm.common_texts import ODD
 
 from echofold.llm import gru, language, toxicity
-from echofold.llm.toxicity import BlockMaxIndex, ToxicityParams
+from echofold.llm.toxicity import BlockMaxIndex, ToxicityParams, Vectors
 
 QUICK = language.LanguageParams(per_lang=30, steps=60, batch=32, train_window=24)
 
@@ -115,10 +115,15 @@ def vectors(n, terms, seed):
     return out
 
 
-@pytest.mark.parametrize("n, k, block", [(300, 10, 16), (5, 10, 4), (64, 1, 64)])
-def test_nearest_are_exact(n, k, block):
+def sparse(dicts):
+    flat = sorted((i, t, x) for i, d in enumerate(dicts) for t, x in d.items())
+    return Vectors(len(dicts), *(np.array(c) for c in zip(*flat, strict=True)))
+
+
+@pytest.mark.parametrize("n, k, block, dense", [(300, 10, 16, 20), (300, 10, 16, 0), (5, 10, 4, 3), (64, 1, 64, 40)])
+def test_nearest_are_exact(n, k, block, dense):
     examples, queries = vectors(n, 40, 1), vectors(50, 40, 2)
-    best, who = BlockMaxIndex(examples, 40, block).nearest(queries, k)
+    best, who = BlockMaxIndex(sparse(examples), 40, block, dense).nearest(sparse(queries), k)
     for q, b, w in zip(queries, best, who, strict=True):
         s = sorted((sum(x * e.get(t, 0) for t, x in q.items()) for e in examples), reverse=True)[:k]
         s = [x for x in s if x > 1e-6]

@@ -12,10 +12,12 @@ passing the end of an occurrence; an unknown block allows the longest shift.
 Where the shift is 0 the block ends a pattern: the bucket of its hash is looked
 up, and the words of the text are compared directly with each pattern in it.
 
-The patterns are sent to every task, so their size is bounded: items are dealt
-into sets of at most ``max_words`` words, one pass over the documents for each
-set.  Usually one set holds them all.  With more, the passes give the hit spans
-of the documents that have any, and spans are united per document.
+The patterns are sent to every task, so their size is bounded: items, each once
+and long ones in overlapping parts, are dealt into sets of about ``max_words``
+words, one pass over the documents for each set.  A set's tables take some 800
+bytes a word and are built once in a worker.  Usually one set holds all items.
+With more, the passes give the hit spans of the documents that have any, and
+spans are united per document.
 
 Defined results: null and empty texts have no words and no hits; items with no
 words match nothing; repeated items and ids count once in ``items``; repeated
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,21 +38,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, table
 
 #: Bytes of words, lower-cased, other ASCII to spaces: UTF-8 sequences stay whole.
-_WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    return (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
 
 
 @dataclass(frozen=True)
 class DecontaminateParams:
     window: int = 10
     #: Words of benchmark items that one pass takes to the executors.
-    max_words: int = 2_000_000
+    max_words: int = 250_000
+    #: Words of an item that stay together; longer items fall into parts that overlap by a window less one word.
+    item_words: int = 20_000
 
 
 @dataclass
@@ -122,16 +127,34 @@ class WuManber:
         return out, items
 
 
+class _Sent:
+    """Items as they are sent; the search over them is built once in a worker."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.items, self.window = items, window
+
+    @cached_property
+    def search(self) -> WuManber:
+        return WuManber(self.items, self.window)
+
+
 def _sets(benchmark: DataFrame, params: DecontaminateParams, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
     """The items in sets of bounded size; one set at a time is on the driver."""
-    # a word takes a byte and a separator at least, so bytes / 2 bounds the words
-    half = (F.octet_length(text_col) + 1) / 2
-    total = benchmark.agg(F.sum(half)).first()[0] or 0
-    n = max(1, -(-int(total) // params.max_words))
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    most, overlap = max(params.item_words, 2 * params.window), params.window - 1
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = words(t)
+                own = [w] if len(w) <= most else [w[k : k + most] for k in range(0, len(w) - overlap, most - overlap)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own)), pa.array([b" ".join(x).decode("utf-8", "surrogatepass") for x in own]), pa.array([len(x) for x in own], pa.int64())], names=["id", "text", "n"])
+
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
+    items = cut(rows.mapInArrow(parts, "id string, text string, n long").where("n > 0").distinct())
+    n = max(1, -(-int(items.agg(F.sum("n")).first()[0] or 0) // params.max_words))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r.id if r.id is not None else "", r.text) for r in part.collect()]
+        yield [(r.id, r.text) for r in part.select("id", "text").collect()]
 
 
 _MATCH = "n_words long, spans array<struct<s:int,e:int>>, items array<string>"
@@ -139,14 +162,13 @@ _MATCH = "n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
 def _match(docs: DataFrame, items: list[tuple[str, str]], params: DecontaminateParams, text_col: str, only_hits: bool) -> DataFrame:
     """All columns of docs but the text, with the match of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    window = params.window
+    sent = docs.sparkSession.sparkContext.broadcast(_Sent(items, params.window))
     rest = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*rest, *T.StructType.fromDDL(_MATCH).fields])
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = WuManber(sent.value, window)
+        search = sent.value.search
         for b in batches:
             n, spans, found = [], [], []
             for t in b.column(text_col).to_pylist():

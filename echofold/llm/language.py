@@ -18,6 +18,7 @@ rows each get a result; other columns do not matter, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,13 +38,12 @@ UNKNOWN = "und"
 class LanguageParams:
     fold_mod: int = 4
     fold: int = 2
-    #: Bound of the training sample: documents of each language.
+    #: Bounds of the training sample: documents of each language, and of all (every language has one at least).
     per_lang: int = 400
+    sample: int = 25_600
     #: Windows of each of them, and their bytes.
     windows: int = 4
     train_window: int = 48
-    #: Languages beyond the most frequent so many are not learned.
-    max_langs: int = 64
     h: int = 8
     steps: int = 300
     batch: int = 128
@@ -62,15 +62,28 @@ def fit(docs: DataFrame, params: LanguageParams, *, id_col: str, text_col: str,
     span = F.greatest(F.length(text_col) - params.train_window, F.lit(1))
     cuts = F.array(*(F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(k + 2)), span) + 1).cast("int"), F.lit(params.train_window)) for k in range(params.windows)))
     rows = known.select(F.col(lang_col).alias("lang"), key.alias("key"), cuts.alias("cuts"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs).collect()}
+    # one row of each language
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
+    if not langs:
+        return [], None
+    most = max(1, min(params.per_lang, params.sample // len(langs)))
     # the least hashes lie below a bound that leaves about four times as many of each language, wherever its rows are
-    low = F.lit(False)
-    for lang, n in counts.items():
-        own = F.col("lang") == lang
-        low = low | (own & (F.col("key") <= int(-(2**63) + 4 * params.per_lang / n * 2**64)) if n > 4 * params.per_lang else own)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "cuts"))
-    sample = rows.where(low).withColumn("nth", nth).where(F.col("nth") <= params.per_lang).select("lang", "nth", "cuts").collect()
+    bounds = {lang: 2**63 - 1 if n <= 4 * most else int(-(2**63) + 4 * most / n * 2**64) for lang, n in counts.items()}
+
+    def least(of: dict[str, int]) -> list:
+        spark = docs.sparkSession
+        bound = spark.createDataFrame(list(of.items()), T.StructType([rows.schema["lang"], T.StructField("bound", T.LongType())]))
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "cuts"))
+        low = rows.join(F.broadcast(bound), "lang").where(F.col("key") <= F.col("bound"))
+        return low.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "nth", "cuts").collect()
+
+    sample = least(bounds)
+    # rows that share few ids may all lie above the bound
+    found = Counter(r.lang for r in sample)
+    short = {lang: 2**63 - 1 for lang, n in counts.items() if found[lang] < min(most, n)}
+    if short:
+        sample = [r for r in sample if r.lang not in short] + least(short)
     x, y = [], []
     for r in sorted(sample, key=lambda r: (r.lang, r.nth)):
         for c in r.cuts:

@@ -136,3 +136,84 @@ def test_edited_digest(spark, docs, tmp_path):
         half = len(t) // 2
         edited = t[: len(t) - half] + texts[(i + 1) % 4][:half]
         assert out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and out[i].n_chars == len(t)
+
+
+def xx(value, seed=42):
+    """XXH64 as Spark gives it: of a string or a long, with a seed; signed."""
+    import struct
+
+    import xxhash
+
+    data = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    h = xxhash.xxh64_intdigest(data, seed % 2**64)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def plain_shingles(text):
+    import re
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    w = [xx(x) for x in re.split(r"[\x20\x09-\x0D]+", low) if x]
+    out = []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xx(x, h)
+        out.append((h % 2**64) >> 16)
+    return out
+
+
+def plain_sketch(shingles):
+    low = sorted({x for x in shingles if x < 2**46})
+    return low or ([min(shingles)] if shingles else [])
+
+
+def plain_near(x, y):
+    a, b, p = plain_sketch(x), plain_sketch(y), fingerprints.SketchParams()
+    if not a or not b:
+        return float(a == b)
+    low = [[h for h in s if h < 2**46] for s in (a, b)]
+    if min(len(x), len(y)) < p.few or not all(low):
+        return len(set(x) & set(y)) / min(len(set(x)), len(set(y)))
+    return 1.0 if a == b else len(set(a) & set(b)) / min(map(len, low))
+
+
+def test_fingerprints_are_the_plain_ones(spark, docs, tmp_path):
+    """Every column of the query, with null, empty, short, repeated and long texts and ids far apart."""
+    import random
+
+    r = random.Random(3)
+    long = [" ".join(f"W{r.randrange(300)}" for _ in range(400)) for _ in range(6)]
+    texts = [*ODD, *long, *(" ".join(long[i % 6].split()[20 * i : 20 * i + n]) for i, n in enumerate([3, 5, 8, 30, 100, 200])), long[0], "a b c d e f"]
+    ids = sorted(r.randrange(-(2**62), 2**62) for _ in range(len(texts) // 2)) + list(range(2**62, 2**62 + len(texts) - len(texts) // 2))
+    docs(texts, ids).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {x.doc_id: x for x in fingerprints.op5_fingerprint(spark, str(tmp_path)).collect()}
+    whole = [t or "" for t in texts]
+    hexed = lambda s: "".join(f"{h:012x}" for h in s)
+    for k, (i, t) in enumerate(zip(ids, whole, strict=True)):
+        after, half = whole[(k + 1) % len(whole)], len(t) // 2
+        a, b, c = (plain_shingles(x) for x in (t, t[: len(t) - half] + after[:half], after))
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (hexed(plain_sketch(a)), hexed(plain_sketch(b)))
+        assert (out[i].near_edited, out[i].near_next) == (pytest.approx(plain_near(a, b)), pytest.approx(plain_near(a, c)))
+
+
+def test_short_texts_inside_long_ones(spark):
+    """Texts of five words, each wholly inside one of 3000 words."""
+    import random
+
+    r = random.Random(1)
+    w = [f"w{r.randrange(5000)}" for _ in range(3000)]
+    df = spark.createDataFrame([(" ".join(w[k : k + 5]), " ".join(w)) for k in range(0, 3000, 30)], "t string, whole string")
+    got = fingerprints.add_sketches(df, {"t": "a", "whole": "b"}, whole={"t": "wa", "whole": "wb"})
+    near = [x[0] for x in got.select(fingerprints.containment(*map(F.col, ("a", "b", "wa", "wb")))).collect()]
+    assert len(near) == 100 and min(near) == 1.0
+    alone = [x[0] for x in got.select(fingerprints.containment(F.col("a"), F.col("b"))).collect()]
+    assert {None, 1.0} == set(alone)
+
+
+def test_empty_table_and_clashing_names(spark, docs, tmp_path):
+    docs(["a"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert fingerprints.op5_fingerprint(spark, str(tmp_path)).count() == 0
+    df = spark.createDataFrame([(3, "c", 1, 2), (1, "a", 1, 2), (None, "b", 1, 2)], "doc_id long, text string, k long, __h_0 long")
+    out = {x.text: x for x in fingerprints.add_sketches(fingerprints.with_next(df, "doc_id", "text", "g"), {"text": "s"}).collect()}
+    assert out["c"]["__h_0"] == 2 and {t: x.g for t, x in out.items()} in ({"a": "b", "b": "c", "c": "a"}, {"b": "a", "a": "c", "c": "b"})

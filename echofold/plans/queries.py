@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .. import functions as E
 from ..operators.align import align_pairs, score_visual_segments
 from ..operators.candidates import find_audio_candidates, find_candidates, score_all_pairs
-from ..operators.cluster import cluster_edges
+from ..operators.cluster import cluster_edges, component_lists
 from ..operators.images import HammingIndex, find_duplicates, similar_pairs
+from ..operators.pairs import pair_rows
 from ..params import DedupParams
+from ..session import cut_lineage
 from . import views
 from .views import SQL
 
@@ -99,10 +101,8 @@ def _alignment_sql(frames: str, want: int, hard: int, bits: int, keep: str = "")
 
 def _pairs(clips: DataFrame, seq: str, hard: int) -> DataFrame:
     """(a, b, x, y) of all clips that are long enough."""
-    long_enough = clips.where(F.size(seq) >= hard)
-    x = long_enough.select(F.col("id").alias("a"), F.col(seq).alias("x"))
-    y = long_enough.select(F.col("id").alias("b"), F.col(seq).alias("y"))
-    return x.join(y, F.col("a") < F.col("b"))
+    met = pair_rows(clips.where(F.size(seq) >= hard).select("id", seq), "id", (64, 512))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col(f"a.{seq}").alias("x"), F.col(f"b.{seq}").alias("y"))
 
 
 @_query(_alignment_sql("event_frames", 30, 30, 0) + " SELECT a, b, shift, avg_bits, overlap FROM found")
@@ -153,9 +153,9 @@ def score_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b, r.v AS visual_avg, r.sa::INT AS visual_seg_a, r.sb::INT AS visual_seg_b, r.n::BIGINT AS visual_overlap FROM g"""
 )
 def visual_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = views.turn_segments(spark, sf_dir).repartition("id")
-    x, y = clips.select(F.col("id").alias("a"), F.col("segments").alias("x")), clips.select(F.col("id").alias("b"), F.col("segments").alias("y"))
-    return score_visual_segments(x.join(y, F.col("a") < F.col("b")), ["a", "b"], "x", "y")
+    met = pair_rows(views.turn_segments(spark, sf_dir).where(F.exists("segments", lambda s: F.size(s) >= PARAMS.min_overlap_hard_floor)), "id", (64, 512))
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.segments").alias("x"), F.col("b.segments").alias("y"))
+    return score_visual_segments(pairs, ["a", "b"], "x", "y")
 
 
 @_query(_alignment_sql("print_frames", 30, 30, 0) + " SELECT a, b, shift, avg_bits, overlap FROM found")
@@ -186,15 +186,20 @@ def audio_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_audio_candidates(prints, views.ranks(prints), views.excluded(prints), AUDIO)
 
 
-@_query(
+_CLUSTERED = (
     "WITH RECURSIVE"
     + (_alignment_sql("sentence_frames", 30, 30, 2))[4:]
     + """, edges AS (SELECT a, b FROM found WHERE NOT avg_bits > 10.0::FLOAT), linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
     reach(id, r) AS (SELECT a, a FROM linked UNION SELECT linked.b, reach.r FROM reach JOIN linked ON linked.a = reach.id),
     least AS (SELECT id, min(r) AS root FROM reach GROUP BY id),
     ends AS (SELECT a AS id, struct_pack(a := a, b := b, side := 0) AS spot FROM edges UNION ALL SELECT b, struct_pack(a := a, b := b, side := 1) FROM edges),
-    f AS (SELECT id, min(spot) AS spot FROM ends GROUP BY id),
-    h AS (SELECT root, arg_min(id, spot) AS component_id FROM f JOIN least USING (id) GROUP BY root)
+    f AS (SELECT id, min(spot) AS spot FROM ends GROUP BY id)"""
+)
+
+
+@_query(
+    _CLUSTERED
+    + """, h AS (SELECT root, arg_min(id, spot) AS component_id FROM f JOIN least USING (id) GROUP BY root)
     SELECT component_id, id, spot.a AS pos_a, spot.b AS pos_b, spot.side AS pos_side FROM f JOIN least USING (id) JOIN h USING (root)"""
 )
 def clip_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +208,18 @@ def clip_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("component_id", "id", F.col("position.a").alias("pos_a"), F.col("position.b").alias("pos_b"), F.col("position.side").alias("pos_side"))
 
 
+@_query(
+    _CLUSTERED
+    + """, g AS (SELECT root, min(spot) AS first, string_agg(id, ',' ORDER BY spot) AS ids FROM f JOIN least USING (id) GROUP BY root)
+    SELECT (row_number() OVER (ORDER BY first) - 1)::INT AS group_no, ids FROM g"""
+)
+def cluster_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups as lists of ids in order of first appearance, each as text."""
+    edges = find_candidates(views.sentence_clips(spark, sf_dir))
+    lists = component_lists(cluster_edges(edges.select("a", "b", F.col("canonical").alias("x"), F.col("member").alias("y")), a="x", b="y", order=["a", "b"]))
+    return lists.select("group_no", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 _IMAGES = _with("text_images", "hashed_images")
 _BITS = "(SELECT idx, hash, hash_bits FROM (SELECT idx, hash, unhex(hash)::BLOB::BIT AS hash_bits FROM hashed_images))"
 
@@ -232,21 +249,48 @@ def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HammingIndex.build(views.hashed_images(spark, sf_dir)).table.select("idx", "chunk_no", "chunk_val")
 
 
+@_query(ORACLES["image_index"])
+def image_index_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of some images, to which the others are added."""
+    images = views.hashed_images(spark, sf_dir)
+    index = HammingIndex.build(images.where("idx % 3 = 0")).add(images.where("idx % 3 <> 0"))
+    return index.table.select("idx", "chunk_no", "chunk_val")
+
+
+@_query(_IMAGES + " SELECT idx AS query_id, idx FROM hashed_images WHERE false")
+def image_index_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index without hashes finds: nothing."""
+    return HammingIndex.empty(spark).query(views.hashed_images(spark, sf_dir).withColumnRenamed("idx", "query_id"))
+
+
 @_query(
     _IMAGES
-    + """, q AS (SELECT doc_id, min(idx) AS idx FROM (SELECT idx // 1048576 AS doc_id, idx FROM hashed_images) GROUP BY doc_id), qh AS (SELECT idx, hash FROM hashed_images JOIN q USING (idx)),
-    x AS (SELECT idx, k, substr(hash, (4 * k + 1)::INT, 4) AS v FROM (SELECT idx, hash, unnest(range(0, 16)) AS k FROM qh)),
-    y AS (SELECT idx, k, substr(hash, (4 * k + 1)::INT, 4) AS v FROM (SELECT idx, hash, unnest(range(0, 16)) AS k FROM hashed_images))
-    SELECT query_id, count(DISTINCT idx) AS candidates FROM (SELECT x.idx AS query_id, y.idx AS idx FROM x JOIN y ON x.k = y.k AND x.v = y.v AND x.idx <> y.idx) GROUP BY query_id"""
+    + """, i AS (SELECT idx, unnest(range(0, 16)) AS k, hash FROM hashed_images), c AS (SELECT idx, k, substr(hash, (4 * k + 1)::INT, 4) AS v FROM i)
+    SELECT query_id, count(DISTINCT idx) AS candidates FROM (SELECT x.idx AS query_id, y.idx AS idx FROM c x JOIN c y ON x.k = y.k AND x.v = y.v AND x.idx <> y.idx WHERE x.idx % 50 = 0) GROUP BY query_id"""
 )
 def image_index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the first image of every document, how many others share a chunk with it."""
-    images = views.hashed_images(spark, sf_dir)
-    firsts = images.groupBy(F.floor(F.col("idx") / 1048576)).agg(F.min_by("hash", "idx").alias("hash"), F.min("idx").alias("query_id"))
-    found = HammingIndex.build(images).query(firsts, exclude="query_id")
+    """For every image whose id is divisible by 50, how many others share a chunk with it."""
+    images = cut_lineage(views.hashed_images(spark, sf_dir))
+    asked = images.where("idx % 50 = 0").withColumnRenamed("idx", "query_id")
+    found = HammingIndex.build(images).query(asked, exclude="query_id")
     return found.groupBy("query_id").agg(F.count("*").alias("candidates"))
 
 
+@_query(
+    _IMAGES
+    + f""", b AS {_BITS} SELECT x.idx, x.hash, bit_count(xor(x.hash_bits, y.hash_bits))::INT AS distance, bit_count(xor(x.idx, y.idx))::INT AS bits64, bit_count(xor(x.idx & 4294967295, y.idx & 4294967295))::INT AS bits32
+    FROM b x JOIN b y ON y.idx = x.idx + 1"""
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that are registered for SQL."""
+    E.register(spark)
+    hashed = spark.sql("SELECT idx, image_hash_hex(gray) AS hash FROM {images}", images=views.text_images(spark, sf_dir))
+    return spark.sql(
+        "SELECT x.idx, x.hash, image_hamming(x.hash, y.hash) AS distance, hamming64(x.idx, y.idx) AS bits64, hamming32(x.idx, y.idx) AS bits32 FROM {h} x JOIN {h} y ON y.idx = x.idx + 1",
+        h=cut_lineage(hashed),
+    )
+
+
 def _image_pairs_sql(t: int) -> str:
     return _IMAGES + f""", b AS {_BITS}, d AS (SELECT hash, any_value(hash_bits) AS bits FROM b GROUP BY hash),
     l AS (SELECT x.hash AS ha, y.hash AS hb, bit_count(xor(x.bits, y.bits)) AS distance FROM d x JOIN d y ON x.hash < y.hash WHERE bit_count(xor(x.bits, y.bits)) <= {t}

@@ -1,18 +1,23 @@
 """Image hashes of encoded images: decode, luma, resize to 17x16, hash.
 
-Decoding is the JVM's, through Spark's ``image`` reader (PNG, JPEG and others).
+Files are decoded by the JVM, through Spark's ``image`` reader (PNG, JPEG and
+others).  Images in a BINARY column are decoded here, as there is no JVM function
+for that: PNG without interlacing; anything else has an error instead of a hash.
 Hashes of decoded images need not equal those of another decoder or resampler;
 the hash of given gray pixels is exact.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..params import HASH_SIZE, ROW_STRIDE
 
@@ -38,6 +43,85 @@ def gray_grid(pixels: np.ndarray) -> bytes:
     return np.clip(np.rint(small), 0, 255).astype(np.uint8).tobytes()
 
 
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A PNG line without its filter. Kinds are fixed: none, sub, up, average, Paeth."""
+    if kind == 0:
+        return line
+    if kind == 2:
+        return line + above
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+    out, up = line.astype(np.int64).tolist(), above.astype(np.int64).tolist()
+    for i in range(len(out)):
+        left, corner = (out[i - step], up[i - step]) if i >= step else (0, 0)
+        if kind == 3:
+            guess = (left + up[i]) // 2
+        else:
+            by = left + up[i] - corner
+            guess = min((left, up[i], corner), key=lambda v: abs(by - v))
+        out[i] = (out[i] + guess) & 255
+    return np.array(out, np.uint8)
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """Pixels [y, x, channel], in blue, green, red(, alpha) order or of one channel."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, body, palette, head = 8, b"", None, None
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + size]
+        at += size + 12
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body += part
+    if head is None:
+        raise ValueError("no header")
+    width, height, depth, colour, _, _, interlaced = head
+    per = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if interlaced or per is None or depth not in (1, 2, 4, 8, 16) or not width or not height or (colour == 3 and palette is None):
+        raise ValueError("unsupported PNG")
+    line, step = -(-width * per * depth // 8), max(1, per * depth // 8)
+    raw = np.frombuffer(zlib.decompress(body), np.uint8)[: height * (line + 1)].reshape(height, line + 1)
+    rows, above = np.empty((height, line), np.uint8), np.zeros(line, np.uint8)
+    for y in range(height):
+        rows[y] = above = _unfiltered(int(raw[y, 0]), raw[y, 1:], above, step)
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
+        rows = (bits @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8)
+        rows = rows if colour == 3 else (rows.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    pixels = rows[:, : width * per].reshape(height, width, per)
+    if colour == 3:
+        return palette[pixels[:, :, 0]][:, :, ::-1]
+    return pixels[:, :, [2, 1, 0, 3][:per]] if per >= 3 else pixels[:, :, :1]
+
+
+def _hash(pixels: np.ndarray) -> str:
+    grid = np.frombuffer(gray_grid(pixels), np.uint8).reshape(HASH_SIZE, ROW_STRIDE)
+    return np.packbits((grid[:, :-1] > grid[:, 1:]).ravel()).tobytes().hex()
+
+
+def hash_image_bytes(images: DataFrame, content_col: str = "content") -> DataFrame:
+    """images with a column ``image``: struct<hash, error> of encoded images in a BINARY column. Null has neither."""
+
+    @F.pandas_udf("hash string, error string")
+    def hashed(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in content:
+            try:
+                out.append((None if data is None else _hash(decode_png(bytes(data))), None))
+            except (ValueError, zlib.error, struct.error, IndexError) as e:
+                out.append((None, f"image load/decode failed: {e}"))
+        return pd.DataFrame(out, columns=["hash", "error"])
+
+    return images.withColumn("image", hashed(content_col))
+
+
 def read_image_hashes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, hash, error): 64 hex digits, or what kept the file from being decoded."""
     rows = spark.read.format("image").load(paths).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
@@ -50,8 +134,7 @@ def read_image_hashes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
                     hashes.append(None)
                     errors.append("image load/decode failed: not an image")
                     continue
-                grid = np.frombuffer(gray_grid(np.frombuffer(data, np.uint8).reshape(h, w, n)), np.uint8).reshape(HASH_SIZE, ROW_STRIDE)
-                hashes.append(np.packbits((grid[:, :-1] > grid[:, 1:]).ravel()).tobytes().hex())
+                hashes.append(_hash(np.frombuffer(data, np.uint8).reshape(h, w, n)))
                 errors.append(None)
             yield pd.DataFrame({"path": pdf.origin, "hash": hashes, "error": errors})
 

@@ -1,13 +1,25 @@
 """Frame hashes and audio fingerprints of media files, by external programs on the executors.
 
 A row that fails does not fail the job: it has a status and a message instead of
-a result, unless ``fail_fast`` is set.  Cancelling the Spark job kills the
-programs; so does any error while their output is read.
+a result, unless ``fail_fast`` is set.  There are two ways to stop:
+
+* ``Extractor.cancel_file``: once a file of that name is there (on a file system
+  that all executors share), rows end as ``Cancelled``.  It is looked for before
+  each read of a program's output;
+* ``cancellable`` and ``cancel``: the jobs under a tag are cancelled.
+
+Either way, and after any error, the programs are killed; a program whose worker
+is killed dies with it.
 """
 
 from __future__ import annotations
 
+import ctypes
+import os
+import select
+import signal
 import subprocess
+import sys
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import AUDIO_CHANNELS, AUDIO_SAMPLE_RATE, SAMPLE_BYTES, SAMPLE_FPS, SAMPLE_H, SAMPLE_W
@@ -23,6 +35,8 @@ from ..params import AUDIO_CHANNELS, AUDIO_SAMPLE_RATE, SAMPLE_BYTES, SAMPLE_FPS
 #: Bytes of a program's error output that a message keeps.
 _KEPT = 128 * 1024
 _BLOCK = 64 * 1024
+#: Seconds between two looks at the cancel file while a program is silent.
+_LOOK = 0.2
 
 
 class ExtractError(Exception):
@@ -35,6 +49,27 @@ class ExtractError(Exception):
         self.status = status
 
 
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs that this thread starts inside carry the tag."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Cancel all running jobs with the tag, whichever thread started them."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def _die_with_parent() -> None:
+    """In a new program: a kill signal when the worker ends, however it ends (Linux)."""
+    if sys.platform == "linux":
+        ctypes.CDLL(None).prctl(1, signal.SIGKILL)
+
+
 def exit_message(tool: str, code: int, said: str) -> str:
     how = f"exit status: {code}" if code >= 0 else f"signal: {-code}"
     return f"{tool} exit {how}" + (f": {said}" if said else "")
@@ -45,7 +80,7 @@ def _program(args: list[str], **kw):
     """A running program whose error output goes to a file, so that it can never block; killed on the way out."""
     with tempfile.TemporaryFile() as errors:
         try:
-            p = subprocess.Popen(args, stdout=subprocess.PIPE, stderr=errors, **kw)
+            p = subprocess.Popen(args, stdout=subprocess.PIPE, stderr=errors, preexec_fn=_die_with_parent, **kw)
         except OSError as e:
             raise ExtractError("Spawn", f"spawn process: {e}") from e
 
@@ -89,6 +124,18 @@ def parse_fingerprint_line(text: str) -> list[int]:
 class Extractor:
     ffmpeg_bin: str = "ffmpeg"
     fpcalc_bin: str = "fpcalc"
+    cancel_file: str | None = None
+
+    def _go_on(self) -> None:
+        if self.cancel_file and os.path.exists(self.cancel_file):
+            raise ExtractError("Cancelled", "cancelled")
+
+    def _read(self, p: subprocess.Popen) -> bytes:
+        """What a program has put out by now, up to a block; waits in short steps, looking whether to go on."""
+        while True:
+            self._go_on()
+            if not self.cancel_file or select.select([p.stdout], [], [], _LOOK)[0]:
+                return p.stdout.read1(_BLOCK)
 
     def _input(self, path: str, start: float, window: int) -> list[str]:
         # seeking before the input is fast and a little inexact, alike for all windows of a file
@@ -101,7 +148,7 @@ class Extractor:
         with _program(args, stdin=subprocess.DEVNULL) as (p, said):
             data = bytearray()
             try:
-                while block := p.stdout.read(_BLOCK):
+                while block := self._read(p):
                     data += block
             except OSError as e:
                 raise ExtractError("Io", f"read output: {e}") from e
@@ -116,7 +163,7 @@ class Extractor:
             with _program([self.fpcalc_bin, "-raw", "-length", "0", "-"], stdin=decoder.stdout) as (p, said):
                 decoder.stdout.close()  # so that the decoder notices if the other one ends
                 try:
-                    text = p.stdout.read().decode("utf-8")
+                    text = b"".join(iter(lambda: self._read(p), b"")).decode("utf-8")
                 except (OSError, UnicodeDecodeError) as e:
                     raise ExtractError("Io", f"read output: {e}") from e
                 code, first = p.wait(), decoder.wait()

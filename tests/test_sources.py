@@ -1,6 +1,9 @@
 import hashlib
 import stat
 import struct
+import subprocess
+import threading
+import time
 import zlib
 
 import pytest
@@ -8,8 +11,8 @@ from model import signed
 
 from echofold.params import SAMPLE_BYTES
 from echofold.sources.files import hash_files, hash_large_files
-from echofold.sources.images import read_image_hashes
-from echofold.sources.media import Extractor, read_audio_fingerprints, read_frame_hashes
+from echofold.sources.images import decode_png, hash_image_bytes, read_image_hashes
+from echofold.sources.media import Extractor, cancel, cancellable, read_audio_fingerprints, read_frame_hashes
 
 
 def script(path, body):
@@ -88,3 +91,82 @@ def test_images(spark, tmp_path):
     assert got["solid.png"].hash == "0" * 64
     assert sum(int(c, 16).bit_count() for c in got["falling.png"].hash) > 240
     assert got["bad.png"].hash is None and got["bad.png"].error.startswith("image load/decode failed")
+
+
+def test_image_bytes(spark, tmp_path):
+    """Encoded images in a column: as the file reader has them; null stays null, and what is no image has an error."""
+    data = {"solid": png(40, 30, lambda x, y: (90, 120, 30)), "odd": png(170, 160, lambda x, y: (250 - x, (x * y) % 200, y))}
+    for n, d in data.items():
+        (tmp_path / f"{n}.png").write_bytes(d)
+    files = {r.path.rsplit("/", 1)[1][:-4]: r.hash for r in read_image_hashes(spark, str(tmp_path)).collect()}
+    df = spark.createDataFrame([(n, bytearray(d)) for n, d in data.items()] + [("none", None), ("bad", bytearray(b"no image")), ("cut", bytearray(data["odd"][:300]))], "name string, content binary")
+    got = {r.name: r.image for r in hash_image_bytes(df).collect()}
+    assert {n: got[n].hash for n in data} == files and got["none"].hash is None and got["none"].error is None
+    assert all(got[n].hash is None and got[n].error.startswith("image load/decode failed") for n in ("bad", "cut"))
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_png_filters(kind):
+    """Every kind of line filter, against the definition; palettes, few bits and gray with alpha."""
+    import numpy as np
+
+    r = np.random.default_rng(kind)
+    want = r.integers(0, 256, (9, 7, 3), np.uint8)
+    raw, lines = want.reshape(9, 21).astype(int), []
+    for y in range(9):
+        line = []
+        for i in range(21):
+            left, up = raw[y, i - 3] if i > 2 else 0, raw[y - 1, i] if y else 0
+            corner = raw[y - 1, i - 3] if y and i > 2 else 0
+            by = left + up - corner
+            guess = (0, left, up, (left + up) // 2, min((left, up, corner), key=lambda v: abs(by - v)))[kind]
+            line.append((raw[y, i] - guess) % 256)
+        lines.append(bytes([kind, *line]))
+    part = lambda name, d: struct.pack(">I", len(d)) + name + d + struct.pack(">I", zlib.crc32(name + d))
+    made = lambda w, h, depth, colour, body, *more: b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)) + b"".join(more) + part(b"IDAT", zlib.compress(body))
+    assert (decode_png(made(7, 9, 8, 2, b"".join(lines))) == want[:, :, ::-1]).all()
+    assert decode_png(made(8, 1, 1, 0, b"\0\xa5")).ravel().tolist() == [255, 0, 255, 0, 0, 255, 0, 255]
+    assert decode_png(made(2, 1, 8, 4, b"\0\x07\xff\x09\xff")).ravel().tolist() == [7, 9]
+    assert decode_png(made(2, 1, 4, 3, b"\0\x10", part(b"PLTE", bytes([1, 2, 3, 4, 5, 6])))).tolist() == [[[6, 5, 4], [3, 2, 1]]]
+
+
+def alive(path):
+    try:
+        return path.exists() and subprocess.run(["ps", "-o", "stat=", "-p", path.read_text().strip()], capture_output=True, text=True).stdout.strip() not in ("", "Z")
+    except ValueError:
+        return False
+
+
+def until(what, seconds=20):
+    end = time.time() + seconds
+    while time.time() < end and not what():
+        time.sleep(0.1)
+    return what()
+
+
+def test_cancel_file(spark, tmp_path):
+    stop = tmp_path / "stop"
+    tool = Extractor(script(tmp_path / "ffmpeg", f"echo $$ > {tmp_path}/pid; touch {stop}; exec sleep 60"), "none", str(stop))
+    r = read_frame_hashes(spark.createDataFrame([("clip",)], "path string"), extractor=tool).first()
+    assert (r.hashes, r.status, r.message) == (None, "Cancelled", "cancelled")
+    assert until(lambda: not alive(tmp_path / "pid"))
+
+
+def test_cancelled_jobs_leave_no_program(spark, tmp_path):
+    tool = Extractor(script(tmp_path / "ffmpeg", f"echo $$ > {tmp_path}/pid; exec sleep 60"), "none")
+    failed = []
+
+    def work():
+        with cancellable(spark, "media-test"):
+            try:
+                read_frame_hashes(spark.createDataFrame([("clip",)], "path string"), extractor=tool).collect()
+            except Exception as e:
+                failed.append(str(e))
+
+    t = threading.Thread(target=work)
+    t.start()
+    assert until(lambda: alive(tmp_path / "pid"))
+    cancel(spark, "media-test")
+    t.join(30)
+    assert failed and "cancel" in failed[0].lower()
+    assert until(lambda: not alive(tmp_path / "pid"))

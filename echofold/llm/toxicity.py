@@ -256,7 +256,8 @@ class ToxicityModel:
         say = np.where(who >= 0, 1 / (self.params.near + np.clip(1 - best, 0, 1)), 0)
         yes = (say * self.toxic[who]).sum(axis=1) + self.share
         no = (say * (1 - self.toxic[who])).sum(axis=1) + 1 - self.share
-        return np.log(yes / no)
+        # where all examples are of one kind, the other side has nothing
+        return np.log((yes + 1e-9) / (no + 1e-9))
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * votes + self.curve[1], -30, 30)))

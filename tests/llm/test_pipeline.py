@@ -47,12 +47,12 @@ def test_toxicity(kept):
 
 
 def test_near_duplicates(kept):
-    from llm.test_simhash import classes, plain
+    """Against all pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    from llm.test_near_copies import heads
 
     before, after = (rows(x) for x in kept[2][1:])
     ids = sorted(before)
-    root = classes([plain(before[i].text) for i in ids])
-    assert set(after) == {ids[w] for w in set(root)}
+    assert set(after) == heads(ids, [before[i].text for i in ids])
 
 
 def test_decontamination(kept):
@@ -84,3 +84,44 @@ def test_run(spark, kept):
 @pytest.mark.parametrize("name", ["op2_chat_format", "op3_revisits", "op9_decontaminate"])
 def test_query(spark, name):
     same(spark, name)
+
+
+@pytest.fixture
+def odd_tables(spark, tmp_path):
+    """Makes a folder of tables whose documents have null and repeated ids, repeated rows, odd texts and clashing columns."""
+    from llm.common_texts import ODD
+
+    def make(texts):
+        extra = {"row": 1, "_row": 2, "node": 3, "class": 4, "score": 5, "spans": 6, "a.b": 7}
+        docs = [(i if i % 5 else None, t, "en", "s", 0, *extra.values()) for i, t in enumerate(texts)]
+        schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in extra)
+        spark.createDataFrame(docs + docs[:3], schema).write.parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame([(i, 0, 0) for i in range(0, 40, 3)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+        spark.createDataFrame([(1, "one of the benchmark items that no text of these has at all"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+        return str(tmp_path)
+
+    make.odd = ODD
+    return make
+
+
+def test_odd_rows(spark, odd_tables):
+    import corpus_pipeline
+
+    path = odd_tables([*odd_tables.odd, *(f"some plain words of text number {i % 30}" for i in range(60))])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    texts = [r.text for r in docs.collect()]
+    assert len(texts) == len(set(texts)) and "one two three" in texts
+    assert corpus_pipeline.run(spark, path).count() == len(texts)
+
+
+def test_no_documents(spark, odd_tables):
+    import corpus_pipeline
+
+    path = odd_tables(["gone"])
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, path).count() == 0, name

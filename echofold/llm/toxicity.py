@@ -149,25 +149,32 @@ class BlockMaxIndex:
     def __init__(self, vectors: Vectors, n_terms: int, block: int, dense: int = 1024, place: np.ndarray | None = None):
         self.block, self.n = block, vectors.n
         self.blocks = max(1, -(-self.n // block))
-        row, term, weight = vectors.row, vectors.term, vectors.weight.astype(np.float32)
+        row, term, weight = vectors.row, vectors.term, vectors.weight.astype(np.float32, copy=False)
         times = np.bincount(term, minlength=n_terms)
         common = np.argsort(-times, kind="stable")[:dense]
         common = common[times[common] > max(1, self.n // 64)]
         #: Place of a term among the commonest, or -1.
         self.place = np.full(n_terms, -1, np.int32)
         self.place[common] = np.arange(len(common))
-        own = self.place[term]
-        weights = np.zeros((self.blocks * block, len(common)), np.float32)
-        weights[row[own >= 0], own[own >= 0]] = weight[own >= 0]
-        weights = weights.reshape(self.blocks, block, -1)
-        self.largest = weights.max(axis=1)
+        times[common] = 0
+        self.start = np.r_[0, np.cumsum(times)]
         #: [block, common term, example of the block]
-        self.weights = np.ascontiguousarray(weights.transpose(0, 2, 1))
-        row, term, weight = row[own < 0], term[own < 0], weight[own < 0]
-        order = np.argsort(term, kind="stable")
+        self.weights = np.zeros((self.blocks, len(common), block), np.float32)
         #: An example's number and its weight's bits side by side, so that both come with one look.
-        self.posting = np.stack([row[order].astype(np.int32), weight[order].view(np.int32)], axis=1).view(np.int64)[:, 0]
-        self.start = np.searchsorted(term[order], np.arange(n_terms + 1, dtype=term.dtype))
+        self.posting = np.empty(self.start[-1], np.int64)
+        halves, cursor = self.posting.view(np.int32).reshape(-1, 2), self.start[:-1].copy()
+        cuts = np.searchsorted(row, np.arange(self.n + 1, dtype=row.dtype))
+        # example by example, each to the next free place of its terms: no copy of the vectors is sorted
+        for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            t, w = term[a:z], weight[a:z]
+            own = self.place[t]
+            on = own >= 0
+            self.weights[i // block, own[on], i % block] = w[on]
+            t, w = t[~on], w[~on]
+            at = cursor[t]
+            halves[at, 0], halves[at, 1] = i, w.view(np.int32)
+            cursor[t] += 1
+        self.largest = self.weights.max(axis=2)
         # the lower an example's place among the ids, the higher its key among equal similarities
         places = np.zeros(self.blocks * block, np.int64)
         places[: self.n] = np.arange(self.n) if place is None else place
@@ -221,8 +228,8 @@ class ToxicityModel:
     vocabulary: np.ndarray
     #: Inverse document frequency times the factor of each term.
     idf: np.ndarray
-    #: How often the examples have their terms, in the order of the index.
-    examples: Vectors
+    #: How often the examples have their terms, in the order of the index; None where the model was sent to.
+    examples: Vectors | None
     #: Ids in that order, and each one's place among them all.
     ids: list
     place: np.ndarray
@@ -231,9 +238,11 @@ class ToxicityModel:
     #: Slope and offset of the logistic curve over a vote's log-odds.
     curve: tuple[float, float]
     params: ToxicityParams
+    #: On the driver, which asks nothing of it.
+    index_later: bool = False
 
     def __post_init__(self) -> None:
-        self.index = self.index_of(self.idf)
+        self.index: BlockMaxIndex | None = None if self.index_later else self.index_of(self.idf)
 
     def index_of(self, idf: np.ndarray) -> BlockMaxIndex:
         return BlockMaxIndex(weigh(self.examples, idf), len(self.vocabulary), self.params.block, self.params.dense, self.place)
@@ -242,14 +251,17 @@ class ToxicityModel:
         """What is sent: counts, which pack well, instead of the index."""
         e, pack = self.examples, zstandard.ZstdCompressor(3).compress
         packed = [pack(np.ascontiguousarray(x.astype(np.int32)).view(np.uint8).reshape(-1, 4).T.tobytes()) for x in (np.diff(e.row, prepend=0), np.diff(e.term, prepend=0), e.weight)]
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples")} | {"packed": (e.n, *packed)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples", "index_later")} | {"packed": (e.n, *packed)}
 
     def __setstate__(self, state: dict) -> None:
         n, *packed = state.pop("packed")
-        self.__dict__.update(state)
+        self.__dict__.update(state, index_later=False)
         row, term, weight = (np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in packed)
         self.examples = Vectors(n, np.cumsum(row, dtype=np.int32), np.cumsum(term, dtype=np.int32), weight)
+        del row, term, weight
         self.__post_init__()
+        # where it was sent only the index is asked
+        self.examples = None
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
         """Log-odds of the neighbours' votes; a vote of the examples' share is added to each side."""
@@ -308,7 +320,7 @@ def build(vocabulary: np.ndarray, idf: np.ndarray, counts: Vectors, ids: list, t
     counts = Vectors(n, at[counts.row[moved]], counts.term[moved], counts.weight[moved])
     del w, moved
     ids, toxic, place = [ids[i] for i in order], toxic[order].astype(float), place[order]
-    model = ToxicityModel(vocabulary, whole, counts, ids, place, toxic, float(toxic.mean()), (1.0, 0.0), params)
+    model = ToxicityModel(vocabulary, whole, counts, ids, place, toxic, float(toxic.mean()), (1.0, 0.0), params, True)
     # every example's vote: without itself, and with the factors of the half it is not in
     half, votes = place % 2, np.zeros(n)
     for h in (0, 1):

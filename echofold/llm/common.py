@@ -39,6 +39,19 @@ def crc_mod(id_col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow keeps of one is given back before the next, as workers live on after a task."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+
+
+def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    """The texts of a batch: a column of that name, or a field of its one struct column."""
+    return batch.column(name) if name in batch.schema.names else batch.column(0).field(name)
+
+
 @lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n + 1 powers of an odd number, and of its inverse, modulo 2 ** 64."""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, lean, table, text_of
 
 #: Bytes of words, lower-cased, other ASCII to spaces: UTF-8 sequences stay whole.
 WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -161,7 +161,7 @@ _MATCH = "n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
 
 def _match(docs: DataFrame, items: list[tuple[str, str]], params: DecontaminateParams, text_col: str, only_hits: bool) -> DataFrame:
-    """All columns of docs but the text, with the match of each row."""
+    """All columns of docs but the text, with the match of each row; a row may be one struct with its text inside."""
     sent = docs.sparkSession.sparkContext.broadcast(_Sent(items, params.window))
     rest = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*rest, *T.StructType.fromDDL(_MATCH).fields])
@@ -169,9 +169,9 @@ def _match(docs: DataFrame, items: list[tuple[str, str]], params: DecontaminateP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = sent.value.search
-        for b in batches:
+        for b in lean(batches):
             n, spans, found = [], [], []
-            for t in b.column(text_col).to_pylist():
+            for t in text_of(b, text_col).to_pylist():
                 w = words(t)
                 s, f = search.spans(w)
                 n.append(len(w))
@@ -224,8 +224,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: Decontamina
     kept = docs
     for items in _sets(benchmark, params, item_col, text_col):
         # the row travels as one column, whatever its columns are called
-        rows = kept.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-        kept = _match(rows, items, params, "_text", only_hits=False).where(F.size("items") == 0).select("_row.*")
+        rows = kept.select(F.struct("*").alias("row"))
+        kept = _match(rows, items, params, text_col, only_hits=False).where(F.size("items") == 0).select("row.*")
     return kept
 
 

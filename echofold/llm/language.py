@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table
+from .common import crc_mod, lean, table, text_of
 from .gru import Labeller, train
 
 UNKNOWN = "und"
@@ -126,14 +126,14 @@ def identify(docs: DataFrame, params: LanguageParams = LanguageParams(), *, id_c
 
 
 def _predict(rows: DataFrame, langs: list[str], net: Labeller | None, params: LanguageParams) -> DataFrame:
-    """(row, lang_pred, score) of (row, text)."""
+    """(row, lang_pred, score) of (row, text), or of a whole row with its text inside."""
     model = rows.sparkSession.sparkContext.broadcast(net)
     most = params.lanes * params.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b in (b.slice(k, 1024) for b in lean(batches) for k in range(0, b.num_rows, 1024)):
+            texts = text_of(b).to_pylist()
             read = [t.encode("utf-8", "surrogatepass") if t is not None and any(map(str.isalpha, t)) else b"" for t in texts]
             total, at = np.zeros((len(read), max(1, len(langs)))), 0
             while own is not None and at < len(read):
@@ -156,7 +156,7 @@ def keep_identified(docs: DataFrame, params: LanguageParams = LanguageParams())
     """The documents whose text is in some language: all columns as they are."""
     langs, net = fit(docs, params, id_col="doc_id", text_col="text", lang_col="lang")
     # the row travels as one column, whatever its columns are called
-    out = _predict(docs.select(F.struct("*").alias("row"), "text"), langs, net, params)
+    out = _predict(docs.select(F.struct("*").alias("row")), langs, net, params)
     return out.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 

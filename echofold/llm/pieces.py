@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, ranges, table
+from .common import Lookup, lean, ranges, table
 
 SPACE = "▁"
 #: Characters between two looks at whether all paths have met.
@@ -377,7 +377,7 @@ def encode(docs: DataFrame, params: PieceParams = PieceParams(), *, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(sent.value, params.lane_chars)
-        for b in batches:
+        for b in lean(batches):
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 texts = part.column(1).cast(pa.binary()).to_pylist()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Lookup, crc_mod, cut, powers, runs, table
+from .common import Lookup, crc_mod, cut, lean, powers, runs, table, text_of
 from .decontaminate import WORDS
 
 
@@ -404,7 +404,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
 
 def _predict(rows: DataFrame, model: ToxicityModel | None, id_type: T.DataType | None) -> DataFrame:
-    """(row, score, and, where ids have a type, evidence) of (row, text)."""
+    """(row, score, and, where ids have a type, evidence) of (row, text), or of a whole row with its text inside."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -417,11 +417,11 @@ def _predict(rows: DataFrame, model: ToxicityModel | None, id_type: T.DataType |
         own = sent.value
         reader = Reader(own.vocabulary, own.params.stems) if own else None
         ids = None if own is None or own_id is None else pa.array(own.ids, own_id)
-        for part in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+        for part in (b.slice(at, _ROWS) for b in lean(batches) for at in range(0, b.num_rows, _ROWS)):
             n = part.num_rows
             score, best, who = np.full(n, own.share if own else 0.0), np.zeros((n, 0)), np.zeros((n, 0), np.int64)
             if own:
-                read = reader.read(_texts(part.column(1)))
+                read = reader.read(_texts(text_of(part)))
                 best, who = own.index.nearest(weigh(read, own.idf), own.params.k)
                 some = np.bincount(read.row, minlength=n) > 0
                 score[some] = own.score(own.votes(best[some], who[some]))
@@ -447,7 +447,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
     """The documents that are not predicted toxic: all columns as they are."""
     model = fit(docs, labels, params)
     # the row travels as one column, whatever its columns are called
-    out = _predict(docs.select(F.struct("*").alias("row"), "text"), model, None)
+    out = _predict(docs.select(F.struct("*").alias("row")), model, None)
     return out.where(F.col("score") < 0.5).select("row.*")
 
 

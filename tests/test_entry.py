@@ -8,7 +8,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["dhash_frames", "moving_mask", "best_alignment_gated", "clip_candidates_ranked", "clip_clusters", "image_index_candidates", "image_pairs_t10", "image_duplicates", "hex_round_trip", "parsed_fingerprints"]
+QUICK = ["dhash_frames", "moving_mask", "best_alignment_gated", "clip_candidates_ranked", "clip_clusters", "image_index_candidates", "image_pairs_t10", "image_duplicates", "hex_round_trip", "parsed_fingerprints", "image_index_added", "image_index_empty", "cluster_lists", "sql_functions", "best_alignment_joined", "visual_segments"]
 
 
 def plain(v):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,12 +41,22 @@ def crc_mod(id_col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return what was freed to the system: workers live on after a task, and an executor's others need the room."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what Arrow keeps of one is given back before the next, as workers live on after a task."""
+    """The batches; what one has left behind is given back before the next."""
     for b in batches:
         yield b
         del b
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Lookup, crc_mod, cut, lean, powers, runs, table, text_of
+from .common import Lookup, crc_mod, cut, give_back, lean, powers, runs, table, text_of
 from .decontaminate import WORDS
 
 
@@ -256,12 +256,20 @@ class ToxicityModel:
     def __setstate__(self, state: dict) -> None:
         n, *packed = state.pop("packed")
         self.__dict__.update(state, index_later=False)
-        row, term, weight = (np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in packed)
-        self.examples = Vectors(n, np.cumsum(row, dtype=np.int32), np.cumsum(term, dtype=np.int32), weight)
-        del row, term, weight
+
+        def unpack() -> np.ndarray:
+            return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed.pop(0)), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+        row = unpack()
+        np.cumsum(row, out=row)
+        term = unpack()
+        np.cumsum(term, out=term)
+        self.examples = Vectors(n, row, term, unpack())
+        del row, term
         self.__post_init__()
         # where it was sent only the index is asked
         self.examples = None
+        give_back()
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
         """Log-odds of the neighbours' votes; a vote of the examples' share is added to each side."""
@@ -354,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     stems = params.stems
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, _ROWS):
                 parts = [h[some] for _, words in runs(_texts(b.column(0).slice(at, _ROWS)), WORDS) for h, some in [term_hashes(words.dictionary, stems)] if len(words)]
                 if parts:
@@ -369,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, rows = Reader(sent.value, stems), 0
         df = np.zeros(reader.terms + 1, np.int64)
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, _ROWS):
                 df[:-1] += np.bincount(reader.read(_texts(b.column(0).slice(at, _ROWS))).term, minlength=reader.terms)
             rows += b.num_rows
@@ -384,7 +392,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value, stems)
-        for b in batches:
+        for b in lean(batches):
             for at in range(0, b.num_rows, _ROWS):
                 part = b.slice(at, _ROWS)
                 v = reader.read(_texts(part.column(2)))

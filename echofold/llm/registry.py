@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, language, lm_score, pieces, sharding, simhash, toxicity, warc
+from . import chat, decontaminate, divergence, fingerprints, language, lm_score, pieces, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES = {
     "op2_chat_format": chat.ORACLE,
     "op3_revisits": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, fingerprints, language, lm_score, pieces, sharding, simhash, toxicity, warc
+from . import chat, decontaminate, divergence, fingerprints, language, lm_score, pieces, sharding, simhash, toxicity, trie, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op13_divergence": divergence.op13_divergence,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op2_chat_format": chat.ORACLE,
     "op3_revisits": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, fingerprints, language, lm_score, pieces, sharding, simhash, toxicity, trie, warc
+from . import chat, decontaminate, divergence, extraction, fingerprints, language, lm_score, pieces, sharding, simhash, toxicity, trie, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
     "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_extraction": extraction.op12_extraction,
     "op13_divergence": divergence.op13_divergence,
 }
 

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as E
-from ..operators.align import align_pairs, score_visual_segments
-from ..operators.candidates import find_audio_candidates, find_candidates, score_all_pairs
+from ..operators.candidates import find_audio_candidates, find_candidates, score_all_pairs, score_all_segments, score_listed_pairs
 from ..operators.cluster import cluster_edges, component_lists
 from ..operators.images import HammingIndex, find_duplicates, similar_pairs
 from ..operators.pairs import pair_rows
@@ -99,12 +98,6 @@ def _alignment_sql(frames: str, want: int, hard: int, bits: int, keep: str = "")
     found AS (SELECT a, b, la, lb, r.avg_bits AS avg_bits, r.shift::INT AS shift, r.overlap::BIGINT AS overlap FROM best)"""
 
 
-def _pairs(clips: DataFrame, seq: str, hard: int) -> DataFrame:
-    """(a, b, x, y) of all clips that are long enough."""
-    met = pair_rows(clips.where(F.size(seq) >= hard).select("id", seq), "id", (64, 512))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col(f"a.{seq}").alias("x"), F.col(f"b.{seq}").alias("y"))
-
-
 @_query(_alignment_sql("event_frames", 30, 30, 0) + " SELECT a, b, shift, avg_bits, overlap FROM found")
 def best_alignment_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_all_pairs(views.event_clips(spark, sf_dir), None, want=30, hard=30, motion_bits=0, threshold=None)
@@ -118,9 +111,9 @@ def best_alignment_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(ORACLES["best_alignment_gated"])
 def best_alignment_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a table of pairs, as a caller may have one."""
-    pairs = _pairs(views.event_clips(spark, sf_dir), "hashes", 30)
-    out = align_pairs(pairs, "x", "y", E.adaptive_floor(F.size("x"), F.size("y"), 30, 30), 2)
-    return out.where(E.matched(F.col("overlap"))).select("a", "b", "shift", "avg_bits", "overlap")
+    clips = cut_lineage(views.event_clips(spark, sf_dir))
+    pairs = pair_rows(clips.where(F.size("hashes") >= 30).select("id"), "id", (512, 4096)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return score_listed_pairs(pairs, clips, want=30, hard=30, motion_bits=2)
 
 
 @_query(
@@ -153,9 +146,7 @@ def score_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b, r.v AS visual_avg, r.sa::INT AS visual_seg_a, r.sb::INT AS visual_seg_b, r.n::BIGINT AS visual_overlap FROM g"""
 )
 def visual_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = pair_rows(views.turn_segments(spark, sf_dir).where(F.exists("segments", lambda s: F.size(s) >= PARAMS.min_overlap_hard_floor)), "id", (64, 512))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.segments").alias("x"), F.col("b.segments").alias("y"))
-    return score_visual_segments(pairs, ["a", "b"], "x", "y")
+    return score_all_segments(views.turn_segments(spark, sf_dir), PARAMS)
 
 
 @_query(_alignment_sql("print_frames", 30, 30, 0) + " SELECT a, b, shift, avg_bits, overlap FROM found")

@@ -9,9 +9,8 @@ no hash below the threshold keeps its smallest hash instead, so that it has a
 fingerprint; on merging, that one goes if the other sketch has hashes below the
 threshold, and it takes no part in a comparison.
 
-A text of few shingles has few hashes in its sketch, or none.  Where the shingles
-themselves are at hand (``add_sketches(..., whole=...)``), a text with fewer than
-``few`` of them is therefore compared by all its shingles, exactly.
+A text of n shingles has no hash below the fraction with a chance of (1 - fraction)^n:
+half of all hashes are kept, so that texts of some words have several.
 
 Hashes are XXH64 of the words' XXH64 hashes, cut to 48 bits.  The fingerprint
 string is the sorted hashes, 12 hex digits each.
@@ -40,9 +39,7 @@ _GROUP_BITS = 6
 @dataclass(frozen=True)
 class SketchParams:
     width: int = 5
-    fraction: float = 0.25
-    #: Shingles from which a text is compared by its sketch alone.
-    few: int = 48
+    fraction: float = 0.5
 
 
 def _words(text: Column) -> Column:
@@ -57,11 +54,11 @@ def _unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def add_sketches(df: DataFrame, of: dict[str, str], params: SketchParams = SketchParams(), *, whole: dict[str, str] | None = None) -> DataFrame:
-    """df with a sketch (array<long>, ascending) for each {text column: new column}; ``whole`` names columns for all shingle hashes, repeats included.
+def add_sketches(df: DataFrame, of: dict[str, str], params: SketchParams = SketchParams()) -> DataFrame:
+    """df with a sketch (array<long>, ascending) for each {text column: new column}.
 
     Each step is a projection of its own, as a lambda evaluates what it closes over for every element."""
-    w, whole, own = params.width, whole or {}, _unused(df, "__h")
+    w, own = params.width, _unused(df, "__h")
     tmp = {t: f"{own}_{i}" for i, t in enumerate(of)}
     df = df.withColumns({h: F.transform(_words(F.col(t)), lambda x: F.xxhash64(x)) for t, h in tmp.items()})
 
@@ -76,7 +73,7 @@ def add_sketches(df: DataFrame, of: dict[str, str], params: SketchParams = Sketc
     kept = {of[t]: F.sort_array(F.array_distinct(F.filter(h, lambda x: x < _below(params)))) for t, h in tmp.items()}
     df = df.withColumns(kept)
     least = {of[t]: F.when((F.size(of[t]) == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.col(of[t])) for t, h in tmp.items()}
-    return df.withColumns(least | {whole[t]: F.col(h) for t, h in tmp.items() if t in whole}).drop(*tmp.values())
+    return df.withColumns(least).drop(*tmp.values())
 
 
 def _below(params: SketchParams) -> int:
@@ -94,19 +91,14 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), HASH_BITS // 4, "0"))), "")
 
 
-def containment(a: Column, b: Column, a_whole: Column | None = None, b_whole: Column | None = None, params: SketchParams = SketchParams()) -> Column:
-    """Estimated share of the smaller document's shingles that the other has; exact if all shingles are given and the smaller has few."""
+def containment(a: Column, b: Column, params: SketchParams = SketchParams()) -> Column:
+    """Estimated share of the smaller document's shingles that the other has; null where a sketch has no hash below the threshold and cannot tell."""
     none = (F.size(a) == 0) | (F.size(b) == 0)
     empty = F.when(none, F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
     # a sketch's only hash above the threshold stands for none
     low = lambda x: F.when(F.get(x, F.lit(0)) < _below(params), F.size(x)).otherwise(0)
     least = F.least(low(a), low(b))
-    estimate = F.when(a == b, 1.0).when(least > 0, F.size(F.array_intersect(a, b)) / least)
-    if a_whole is None or b_whole is None:
-        return F.coalesce(empty, estimate)
-    smaller = F.when(F.size(a_whole) <= F.size(b_whole), a_whole).otherwise(b_whole)
-    exact = F.size(F.array_intersect(a_whole, b_whole)) / F.least(F.size(F.array_distinct(a_whole)), F.size(F.array_distinct(b_whole)))
-    return F.coalesce(empty, F.when((F.size(smaller) < params.few) | (least == 0), exact).otherwise(estimate))
+    return F.coalesce(empty, F.when(a == b, 1.0).when(least > 0, F.size(F.array_intersect(a, b)) / least))
 
 
 def resemblance(a: Column, b: Column) -> Column:
@@ -149,18 +141,19 @@ def _following(groups: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text; likeness from the fingerprints alone, 0 where they cannot tell."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     paired = with_next(docs, "doc_id", "text", "next").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next", F.lit(1), half))
-    whole = {"text": "wa", "edited": "wb", "next": "wc"}
-    sketched = add_sketches(paired.withColumn("edited", edited), {"text": "a", "edited": "b", "next": "c"}, whole=whole)
+    sketched = add_sketches(paired.withColumn("edited", edited), {"text": "a", "edited": "b", "next": "c"})
+    near = lambda x: F.coalesce(containment(F.col("a"), F.col(x)), F.lit(0.0))
     return sketched.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("b")).alias("edited_fingerprint"),
-        containment(*map(F.col, ("a", "b", "wa", "wb"))).alias("near_edited"),
-        containment(*map(F.col, ("a", "c", "wa", "wc"))).alias("near_next"),
+        near("b").alias("near_edited"),
+        near("c").alias("near_next"),
     )

@@ -9,10 +9,11 @@ through the shared checkpoint folder, so a lost executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ranks import ranked
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -64,10 +65,23 @@ def cluster_edges(edges: DataFrame, *, a: str = "a", b: str = "b", order: list[s
     return members.join(heads, "component").select("component_id", "id", "position")
 
 
-def component_lists(members: DataFrame) -> DataFrame:
-    """(group_no, ids): one ordered list per component, numbered in order of first appearance.
+#: Ids in a list; a longer component has several.
+_SEGMENT = 1_000_000
 
-    A view for callers that want lists: a component becomes one row, and the numbering sorts one row per component."""
-    lists = members.groupBy("component_id").agg(F.sort_array(F.collect_list(F.struct("position", "id"))).alias("m"))
-    number = F.row_number().over(Window.orderBy(F.col("m")[0]["position"])) - 1
-    return lists.select(number.alias("group_no"), F.transform("m", lambda x: x["id"]).alias("ids"))
+
+def component_places(members: DataFrame) -> DataFrame:
+    """(group_no, place, id): components numbered in order of first appearance, and their ids in order.
+
+    All members are ranked by (their component's first position, own position) over all tasks; the place is the distance from
+    the component's first rank. No task has to hold a component, or one row for each of all components."""
+    heads = ranked(members.groupBy("component_id").agg(F.min("position").alias("head")), ["head"], "group_no")
+    placed = ranked(members.join(heads, "component_id"), ["head", "position"])
+    first = placed.groupBy("group_no").agg(F.min("rank").alias("first"))
+    return placed.join(first, "group_no").select("group_no", (F.col("rank") - F.col("first")).alias("place"), "id")
+
+
+def component_lists(members: DataFrame, segment: int = _SEGMENT) -> DataFrame:
+    """(group_no, segment_no, ids): ordered lists, numbered in order of first appearance; a list has at most ``segment`` ids, the next ones follow in the next segment."""
+    places = component_places(members)
+    lists = places.groupBy(F.col("group_no").cast("int").alias("group_no"), F.floor(F.col("place") / segment).cast("int").alias("segment_no"))
+    return lists.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))

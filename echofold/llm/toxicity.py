@@ -179,6 +179,8 @@ class BlockMaxIndex:
         places = np.zeros(self.blocks * block, np.int64)
         places[: self.n] = np.arange(self.n) if place is None else place
         self.example = np.argsort(places[: self.n])
+        if len(places) > 1 << _PLACE:
+            raise ValueError(f"an index holds {1 << _PLACE} examples at most")
         self.low = ((1 << _PLACE) - 1 - places).reshape(self.blocks, block)
 
     def nearest(self, queries: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -451,6 +453,24 @@ def score(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     return out.select(F.col("row").alias(id_col), (crc_mod(F.col("row"), params.fold_mod) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def cross_validate(docs: DataFrame, labels: DataFrame, choices: list[ToxicityParams], *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[float, float, float]]:
+    """(log loss, share of toxic found, share of clean called toxic) of each choice, by cross-validation within the learnt folds.
+
+    The held-out fold (remainder 0) takes no part: each other fold in turn is scored by a model of the rest."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    out = []
+    for params in choices:
+        fold, sums = crc_mod(F.col(id_col), params.fold_mod), np.zeros(6)
+        for left in range(1, params.fold_mod):
+            model = fit(docs, known.where(fold != left), params, id_col=id_col, text_col=text_col, label_col=label_col)
+            asked = docs.join(known.where(fold == left).groupBy(id_col).agg(F.max(label_col).alias("_label")), id_col).select(F.struct(id_col, F.col("_label").alias("label")).alias("row"), F.col(text_col).alias("text"))
+            p, y = F.least(F.greatest("score", F.lit(1e-9)), F.lit(1 - 1e-9)), F.col("row.label") == 1
+            loss, called = F.sum(-F.log(F.when(y, p).otherwise(1 - p))), F.col("score") >= 0.5
+            sums += np.array([x or 0 for x in _predict(asked, model, None).agg(loss, F.count("*"), F.count_if(y & called), F.count_if(y), F.count_if(~y & called), F.count_if(~y)).first()], float)
+        out.append((sums[0] / max(1, sums[1]), sums[2] / max(1, sums[3]), sums[4] / max(1, sums[5])))
+    return out
+
+
 def keep_clean(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The documents that are not predicted toxic: all columns as they are."""
     model = fit(docs, labels, params)

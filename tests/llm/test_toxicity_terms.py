@@ -113,3 +113,15 @@ def test_repeated_ids_and_labels(spark, docs):
     assert len(out) == 4
     assert next(e.toxic for r in out if r.doc_id == 3 for e in r.evidence if e.id == 1) == 1
     assert next(r.evidence for r in out if r.doc_id == 1 and not any(e.similarity for e in r.evidence)) == []
+
+
+def test_cross_validation_leaves_the_held_out_fold_alone(spark, docs):
+    from echofold.llm.toxicity import ToxicityParams, cross_validate
+
+    texts = [("bad awful words " if i % 3 == 0 else "kind good words ") + f"w{i % 7} w{i % 5}" for i in range(120)]
+    table = docs(texts)
+    choices = [ToxicityParams(k=1), ToxicityParams(k=5, stems=())]
+    rows = [(i, int(i % 3 == 0)) for i in range(120)]
+    other = [(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in rows]
+    got = [cross_validate(table, spark.createDataFrame(r, "doc_id long, toxic int"), choices) for r in (rows, other)]
+    assert got[0] == pytest.approx(got[1]) and all(found == 1.0 and called == 0.0 for _, found, called in got[0])

@@ -2,7 +2,7 @@
 
 Files are decoded by the JVM, through Spark's ``image`` reader (PNG, JPEG and
 others).  Images in a BINARY column are decoded here, as there is no JVM function
-for that: PNG without interlacing; anything else has an error instead of a hash.
+for that: PNG, and sequential JPEG (``jpeg``); anything else has an error instead of a hash.
 Hashes of decoded images need not equal those of another decoder or resampler;
 the hash of given gray pixels is exact.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import HASH_SIZE, ROW_STRIDE
+from .jpeg import decode_jpeg
 
 
 @lru_cache(maxsize=256)
@@ -63,6 +64,10 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np
     return np.array(out, np.uint8)
 
 
+#: First column and row, and steps, of the passes of an interlaced PNG.
+_PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """Pixels [y, x, channel], in blue, green, red(, alpha) order or of one channel."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -82,10 +87,26 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("no header")
     width, height, depth, colour, _, _, interlaced = head
     per = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-    if interlaced or per is None or depth not in (1, 2, 4, 8, 16) or not width or not height or (colour == 3 and palette is None):
+    if per is None or depth not in (1, 2, 4, 8, 16) or not width or not height or (colour == 3 and palette is None):
         raise ValueError("unsupported PNG")
+    raw, pixels = np.frombuffer(zlib.decompress(body), np.uint8), np.empty((height, width, per), np.uint8)
+    at = 0
+    # seven pictures of some rows and columns each where it is interlaced
+    for x0, y0, dx, dy in _PASSES if interlaced else [(0, 0, 1, 1)]:
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        if w > 0 and h > 0:
+            size = (-(-w * per * depth // 8) + 1) * h
+            pixels[y0::dy, x0::dx] = _png_rows(raw[at : at + size], w, h, per, depth, colour)
+            at += size
+    if colour == 3:
+        return palette[pixels[:, :, 0]][:, :, ::-1]
+    return pixels[:, :, [2, 1, 0, 3][:per]] if per >= 3 else pixels[:, :, :1]
+
+
+def _png_rows(raw: np.ndarray, width: int, height: int, per: int, depth: int, colour: int) -> np.ndarray:
+    """Samples [y, x, channel] as bytes."""
     line, step = -(-width * per * depth // 8), max(1, per * depth // 8)
-    raw = np.frombuffer(zlib.decompress(body), np.uint8)[: height * (line + 1)].reshape(height, line + 1)
+    raw = raw.reshape(height, line + 1)
     rows, above = np.empty((height, line), np.uint8), np.zeros(line, np.uint8)
     for y in range(height):
         rows[y] = above = _unfiltered(int(raw[y, 0]), raw[y, 1:], above, step)
@@ -95,10 +116,12 @@ def decode_png(data: bytes) -> np.ndarray:
         bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
         rows = (bits @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8)
         rows = rows if colour == 3 else (rows.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    pixels = rows[:, : width * per].reshape(height, width, per)
-    if colour == 3:
-        return palette[pixels[:, :, 0]][:, :, ::-1]
-    return pixels[:, :, [2, 1, 0, 3][:per]] if per >= 3 else pixels[:, :, :1]
+    return rows[:, : width * per].reshape(height, width, per)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels of a PNG or JPEG, told apart by their first bytes."""
+    return decode_jpeg(data) if data[:2] == b"\xff\xd8" else decode_png(data)
 
 
 def _hash(pixels: np.ndarray) -> str:
@@ -114,8 +137,8 @@ def hash_image_bytes(images: DataFrame, content_col: str = "content") -> DataFra
         out = []
         for data in content:
             try:
-                out.append((None if data is None else _hash(decode_png(bytes(data))), None))
-            except (ValueError, zlib.error, struct.error, IndexError) as e:
+                out.append((None if data is None else _hash(decode(bytes(data))), None))
+            except (ValueError, zlib.error, struct.error, IndexError, KeyError, OverflowError) as e:
                 out.append((None, f"image load/decode failed: {e}"))
         return pd.DataFrame(out, columns=["hash", "error"])
 

@@ -11,7 +11,7 @@ from model import signed
 
 from echofold.params import SAMPLE_BYTES
 from echofold.sources.files import hash_files, hash_large_files
-from echofold.sources.images import decode_png, hash_image_bytes, read_image_hashes
+from echofold.sources.images import decode, decode_png, hash_image_bytes, read_image_hashes
 from echofold.sources.media import Extractor, cancel, cancellable, read_audio_fingerprints, read_frame_hashes
 
 
@@ -105,6 +105,72 @@ def test_image_bytes(spark, tmp_path):
     assert all(got[n].hash is None and got[n].error.startswith("image load/decode failed") for n in ("bad", "cut"))
 
 
+def jpeg(spark, tmp_path, name, source, kind="jpg"):
+    """A PNG written anew by the JVM, as a JPEG."""
+    jvm = spark._jvm
+    (tmp_path / "source.png").write_bytes(source)
+    io, file = jvm.javax.imageio.ImageIO, jvm.java.io.File
+    assert io.write(io.read(file(str(tmp_path / "source.png"))), kind, file(str(tmp_path / name)))
+    return (tmp_path / name).read_bytes()
+
+
+@pytest.mark.parametrize("size", [(170, 160), (33, 47), (8, 8), (1, 1)])
+def test_jpeg(spark, tmp_path, size):
+    """Decoded as the JVM does, but for the way chroma is widened; hashes differ in a few bits at most."""
+    import math
+
+    import numpy as np
+
+    w, h = size
+    data = jpeg(spark, tmp_path, "a.jpg", png(w, h, lambda x, y: (int(128 + 100 * math.sin(x / 9)), int(128 + 100 * math.cos(y / 11)), (x + y) % 256)))
+    row = spark.read.format("image").load(str(tmp_path / "a.jpg")).select("image.*").first()
+    theirs = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels).astype(int)
+    ours = decode(data).astype(int)
+    assert ours.shape == theirs.shape and np.abs(ours - theirs).mean() < 6
+    (file,) = read_image_hashes(spark, str(tmp_path / "a.jpg")).collect()
+    (here,) = hash_image_bytes(spark.createDataFrame([(bytearray(data),)], "content binary")).collect()
+    if w * h > 100:
+        assert (int(file.hash, 16) ^ int(here.image.hash, 16)).bit_count() <= 8
+
+
+def test_broken_jpegs(spark, tmp_path):
+    data = jpeg(spark, tmp_path, "a.jpg", png(64, 64, lambda x, y: (x * 3, y * 3, x * y % 256)))
+    progressive = data.replace(b"\xff\xc0", b"\xff\xc2", 1)
+    cut = [data[: len(data) * k // 10] for k in range(1, 10)]
+    df = spark.createDataFrame([(bytearray(d),) for d in [b"\xff\xd8", progressive, *cut]], "content binary")
+    got = [r.image for r in hash_image_bytes(df).collect()]
+    assert all(r.hash is None and r.error.startswith("image load/decode failed") for r in got)
+
+
+def test_gray_jpeg_and_restarts():
+    """A gray picture of four blocks by hand: one DC code, with and without restarts."""
+    seg = lambda kind, d: b"\xff" + bytes([kind]) + struct.pack(">H", len(d) + 2) + d
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + b"\x01" * 64) + seg(0xC0, struct.pack(">BHHB", 8, 16, 16, 1) + b"\x01\x11\0")
+    # codes 0: no bits, 10: seven bits; of AC only the end of a block, 0
+    head += seg(0xC4, b"\0" + bytes([1, 1] + [0] * 14) + b"\0\x07") + seg(0xC4, b"\x10" + bytes([1] + [0] * 15) + b"\0")
+    scan = seg(0xDA, b"\x01\x01\0\0\x3f\0")
+    bits = lambda s: int(s.ljust(-(-len(s) // 8) * 8, "1"), 2).to_bytes(-(-len(s) // 8), "big")
+    step = "10" + f"{80:07b}" + "0"
+    whole = head + scan + bits(step + "00" * 3) + b"\xff\xd9"
+    again = head + seg(0xDD, b"\0\x02") + scan + bits(step + "00") + b"\xff\xd0" + bits(step + "00") + b"\xff\xd9"
+    for data in (whole, again):
+        assert (decode(data) == 138).all() and decode(data).shape == (16, 16, 1)
+
+
+def test_interlaced_png():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    part = lambda name, d: struct.pack(">I", len(d)) + name + d + struct.pack(">I", zlib.crc32(name + d))
+    for w, h in ((13, 11), (1, 1), (3, 2), (8, 8)):
+        want, body = r.integers(0, 256, (h, w, 3), np.uint8), b""
+        for x0, y0, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)):
+            some = want[y0::dy, x0::dx]
+            body += b"".join(b"\0" + line.tobytes() for line in some) if some.size else b""
+        data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 1)) + part(b"IDAT", zlib.compress(body))
+        assert (decode_png(data) == want[:, :, ::-1]).all()
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_filters(kind):
     """Every kind of line filter, against the definition; palettes, few bits and gray with alpha."""

@@ -318,17 +318,22 @@ def build(vocabulary: np.ndarray, idf: np.ndarray, counts: Vectors, ids: list, t
     n, terms = counts.n, len(vocabulary)
     whole = idf * factors(counts, toxic, terms, np.ones(n, bool))
     # examples whose heaviest term is the same stand together, so that the bounds of a block are close
-    w = weigh(counts, whole)
-    heavy = np.lexsort((w.weight, w.row))[np.cumsum(np.bincount(w.row, minlength=n)) - 1]
+    heavy = np.empty(n, np.int64)
+    for i in range(0, n, _ROWS):
+        w = weigh(counts.rows(i, min(n, i + _ROWS)), whole)
+        cuts = np.searchsorted(w.row, np.arange(w.n + 1))
+        # of equal weights the last
+        heavy[i : i + w.n] = [w.term[z - 1 - w.weight[a:z][::-1].argmax()] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
     place = np.empty(n, np.int64)
     place[sorted(range(n), key=lambda i: ids[i])] = np.arange(n)
-    order = np.lexsort((place, toxic, w.term[heavy]))
-    at = np.empty(n, np.int32)
-    at[order] = np.arange(n)
-    # whole rows change places, and the order of terms within them stays
-    moved = np.argsort(at[counts.row], kind="stable")
-    counts = Vectors(n, at[counts.row[moved]], counts.term[moved], counts.weight[moved])
-    del w, moved
+    order = np.lexsort((place, toxic, heavy))
+    # whole rows change places, and the order of terms within them stays; row by row, without an index of all terms
+    cuts = np.searchsorted(counts.row, np.arange(n + 1, dtype=counts.row.dtype))
+    size = np.diff(cuts)[order]
+    term, weight = (np.concatenate([x[cuts[i] : cuts[i + 1]] for i in order]) for x in (counts.term, counts.weight))
+    counts = Vectors(n, np.repeat(np.arange(n, dtype=np.int32), size), term, weight)
+    del term, weight
+    give_back()
     ids, toxic, place = [ids[i] for i in order], toxic[order].astype(float), place[order]
     model = ToxicityModel(vocabulary, whole, counts, ids, place, toxic, float(toxic.mean()), (1.0, 0.0), params, True)
     # every example's vote: without itself, and with the factors of the half it is not in
@@ -338,10 +343,14 @@ def build(vocabulary: np.ndarray, idf: np.ndarray, counts: Vectors, ids: list, t
         if not len(own):
             continue
         other = idf * factors(counts, toxic, terms, half != h)
-        asked = weigh(counts, other)
-        on = half[asked.row] == h
-        nth = np.cumsum(half == h) - 1
-        best, who = model.index_of(other).nearest(Vectors(len(own), nth[asked.row[on]], asked.term[on], asked.weight[on]), params.k + 1)
+        index, found = model.index_of(other), []
+        for i in range(0, n, _ROWS):
+            asked, here = weigh(counts.rows(i, min(n, i + _ROWS)), other), half[i : i + _ROWS] == h
+            on, nth = here[asked.row], np.cumsum(here) - 1
+            found.append(index.nearest(Vectors(int(here.sum()), nth[asked.row[on]], asked.term[on], asked.weight[on]), params.k + 1))
+        best, who = (np.concatenate(x) for x in zip(*found, strict=True))
+        del index, found
+        give_back()
         # of more equals than k + 1, another one may stand for it
         self_at = who == own[:, None]
         drop = np.where(self_at.any(axis=1), self_at.argmax(axis=1), params.k)

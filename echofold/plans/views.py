@@ -23,9 +23,12 @@ def _pieces(df: DataFrame, size: int) -> DataFrame:
     """(doc_id, pos, gray): a text's UTF-8 bytes in pieces of a size, the last filled up with zero bytes."""
     data = F.col("text").cast("binary")
     n = F.ceil(F.octet_length("text") / size).cast("int")
-    rows = df.where(F.octet_length("text") > 0).select("doc_id", data.alias("data"), F.posexplode(F.sequence(F.lit(0), n - 1)).alias("pos", "_k"))
-    piece = F.substring("data", F.col("pos") * size + 1, F.lit(size))
-    return rows.select("doc_id", "pos", F.rpad(piece, F.lit(size), F.lit(b"\0")).alias("gray"))
+
+    def piece(k: Column) -> Column:
+        return F.rpad(F.substring(data, k * size + 1, F.lit(size)), F.lit(size), F.lit(b"\0"))
+
+    # pieces are cut before they become rows: a row that still had its whole text would carry it into whatever buffers rows
+    return df.where(F.octet_length("text") > 0).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), piece)).alias("pos", "gray"))
 
 
 def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,8 @@ class ToxicityParams:
 
 #: Texts, and queries, that are worked on at once.
 _ROWS, _QUERIES = 256, 32
+#: Terms whose factors are worked out at once; tasks that work out the examples' own votes, for each half of them.
+_TERMS, _SLICES = 1 << 16, 6
 #: Similarities are kept as millionths, beside an example's place among the ids.
 _UNIT, _PLACE = 1e6, 20
 _MIX = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0x94D049BB133111EB)]
@@ -76,7 +78,8 @@ class Vectors:
     weight: np.ndarray
 
     def rows(self, first: int, end: int) -> Vectors:
-        a, b = np.searchsorted(self.row, (first, end))
+        # of the rows' own type, which is else widened whole
+        a, b = np.searchsorted(self.row, np.array((first, end), self.row.dtype))
         return Vectors(end - first, self.row[a:b] - first, self.term[a:b], self.weight[a:b])
 
 
@@ -143,6 +146,23 @@ def weigh(counts: Vectors, idf: np.ndarray) -> Vectors:
     return Vectors(counts.n, counts.row, counts.term, w)
 
 
+def _packed(counts: Vectors) -> tuple:
+    """Rows of counts as they are sent."""
+
+    def pack(x: np.ndarray, step: bool) -> bytes:
+        x = (np.diff(x, prepend=x.dtype.type(0)) if step else x).astype(np.int32, copy=False)
+        return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T))
+
+    return counts.n, pack(counts.row, True), pack(counts.term, True), pack(counts.weight, False)
+
+
+def _unpacked(n: int, *packed: bytes) -> Vectors:
+    row, term, weight = (np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in packed)
+    np.cumsum(row, out=row)
+    np.cumsum(term, out=term)
+    return Vectors(n, row, term, weight)
+
+
 class BlockMaxIndex:
     """Inverted index of unit vectors. Postings of the commonest terms are in blocks, with the largest weight of every term in each block."""
 
@@ -225,6 +245,15 @@ class BlockMaxIndex:
         return -np.sort(-best, axis=1)
 
 
+def votes(best: np.ndarray, who: np.ndarray, toxic: np.ndarray, share: float, params: ToxicityParams) -> np.ndarray:
+    """Log-odds of the neighbours' votes; a vote of the examples' share is added to each side."""
+    say = np.where(who >= 0, 1 / (params.near + np.clip(1 - best, 0, 1)), 0)
+    yes = (say * toxic[who]).sum(axis=1) + share
+    no = (say * (1 - toxic[who])).sum(axis=1) + 1 - share
+    # where all examples are of one kind, the other side has nothing
+    return np.log((yes + 1e-9) / (no + 1e-9))
+
+
 @dataclass
 class ToxicityModel:
     vocabulary: np.ndarray
@@ -251,35 +280,19 @@ class ToxicityModel:
 
     def __getstate__(self) -> dict:
         """What is sent: counts, which pack well, instead of the index."""
-        e, pack = self.examples, zstandard.ZstdCompressor(3).compress
-        packed = [pack(np.ascontiguousarray(x.astype(np.int32)).view(np.uint8).reshape(-1, 4).T.tobytes()) for x in (np.diff(e.row, prepend=0), np.diff(e.term, prepend=0), e.weight)]
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples", "index_later")} | {"packed": (e.n, *packed)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "examples", "index_later")} | {"packed": _packed(self.examples)}
 
     def __setstate__(self, state: dict) -> None:
-        n, *packed = state.pop("packed")
+        packed = state.pop("packed")
         self.__dict__.update(state, index_later=False)
-
-        def unpack() -> np.ndarray:
-            return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed.pop(0)), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-
-        row = unpack()
-        np.cumsum(row, out=row)
-        term = unpack()
-        np.cumsum(term, out=term)
-        self.examples = Vectors(n, row, term, unpack())
-        del row, term
+        self.examples = _unpacked(*packed)
         self.__post_init__()
         # where it was sent only the index is asked
         self.examples = None
         give_back()
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Log-odds of the neighbours' votes; a vote of the examples' share is added to each side."""
-        say = np.where(who >= 0, 1 / (self.params.near + np.clip(1 - best, 0, 1)), 0)
-        yes = (say * self.toxic[who]).sum(axis=1) + self.share
-        no = (say * (1 - self.toxic[who])).sum(axis=1) + 1 - self.share
-        # where all examples are of one kind, the other side has nothing
-        return np.log((yes + 1e-9) / (no + 1e-9))
+        return votes(best, who, self.toxic, self.share, self.params)
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * votes + self.curve[1], -30, 30)))
@@ -298,22 +311,71 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def factors(examples: Vectors, toxic: np.ndarray, n_terms: int, own: np.ndarray) -> np.ndarray:
     """sqrt(1 + log-likelihood ratio) of the terms that are more frequent in toxic examples, among the examples ``own``; 1 for all others."""
-    on = own[examples.row]
-    df = np.bincount(examples.term[on], minlength=n_terms)
-    a = np.bincount(examples.term[on], weights=toxic[examples.row[on]], minlength=n_terms)
     n, bad = int(own.sum()), toxic[own].sum()
     if not n:
         return np.ones(n_terms)
+    # some rows, and then some terms, at a time: the driver has little memory
+    df, a = np.zeros(n_terms, np.int64), np.zeros(n_terms)
+    for i in range(0, examples.n, _ROWS):
+        some = examples.rows(i, i + _ROWS)
+        on = own[some.row + i]
+        np.add.at(df, some.term[on], 1)
+        np.add.at(a, some.term[on], toxic[some.row[on] + i])
     share = bad / n
 
     def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-12)), 0.0)
 
-    g = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(bad - a, (n - df) * share) + part((n - df) - (bad - a), (n - df) * (1 - share)))
-    return np.sqrt(1 + np.where(a > df * share, np.maximum(g, 0), 0))
+    for k in range(0, n_terms, _TERMS):
+        x, d = a[k : k + _TERMS], df[k : k + _TERMS]
+        g = 2 * (part(x, d * share) + part(d - x, d * (1 - share)) + part(bad - x, (n - d) * share) + part((n - d) - (bad - x), (n - d) * (1 - share)))
+        # a factor takes the place of its term's count
+        x[:] = np.sqrt(1 + np.where(x > d * share, np.maximum(g, 0), 0))
+    return a
+
+
+def _own_votes(spark: SparkSession, model: ToxicityModel, idf: np.ndarray) -> np.ndarray:
+    """Every example's vote: without itself, and with the factors of the half it is not in. Executors make the indexes of the halves, which the driver has no room for."""
+    toxic, place, share, params, terms = model.toxic, model.place, model.share, model.params, len(model.vocabulary)
+    sent = spark.sparkContext.broadcast((_packed(model.examples), idf))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = place % 2
+        for b in batches:
+            for task in b.column(0).to_pylist():
+                h, part = task % 2, task // 2
+                own = np.array_split(np.flatnonzero(half == h), _SLICES)[part]
+                if not len(own):
+                    continue
+                packed, plain = sent.value
+                counts = _unpacked(*packed)
+                other = plain * factors(counts, toxic, terms, half != h)
+                index = BlockMaxIndex(weigh(counts, other), terms, params.block, params.dense, place)
+                for i in range(0, len(own), _ROWS):
+                    some = own[i : i + _ROWS]
+                    asked = weigh(counts.rows(int(some[0]), int(some[-1]) + 1), other)
+                    nth = np.full(asked.n, -1)
+                    nth[some - some[0]] = np.arange(len(some))
+                    on = nth[asked.row] >= 0
+                    best, who = index.nearest(Vectors(len(some), nth[asked.row[on]], asked.term[on], asked.weight[on]), params.k + 1)
+                    # of more equals than k + 1, another one may stand for it
+                    self_at = who == some[:, None]
+                    drop = np.where(self_at.any(axis=1), self_at.argmax(axis=1), params.k)
+                    keep = np.arange(params.k + 1)[None] != drop[:, None]
+                    say = votes(best[keep].reshape(-1, params.k), who[keep].reshape(-1, params.k), toxic, share, params)
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(say)], names=["example", "vote"])
+                del counts, index
+                give_back()
+
+    # a row for each of the bounded number of examples
+    found = spark.range(0, 2 * _SLICES, 1, 2 * _SLICES).mapInArrow(run, "example long, vote double").toArrow()
+    sent.destroy()
+    out = np.zeros(model.examples.n)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
 
-def build(vocabulary: np.ndarray, idf: np.ndarray, counts: Vectors, ids: list, toxic: np.ndarray, params: ToxicityParams) -> ToxicityModel:
+
+def build(spark: SparkSession, vocabulary: np.ndarray, idf: np.ndarray, counts: Vectors, ids: list, toxic: np.ndarray, params: ToxicityParams) -> ToxicityModel:
     """The model of examples that have a term each."""
     n, terms = counts.n, len(vocabulary)
     whole = idf * factors(counts, toxic, terms, np.ones(n, bool))
@@ -336,27 +398,7 @@ def build(vocabulary: np.ndarray, idf: np.ndarray, counts: Vectors, ids: list, t
     give_back()
     ids, toxic, place = [ids[i] for i in order], toxic[order].astype(float), place[order]
     model = ToxicityModel(vocabulary, whole, counts, ids, place, toxic, float(toxic.mean()), (1.0, 0.0), params, True)
-    # every example's vote: without itself, and with the factors of the half it is not in
-    half, votes = place % 2, np.zeros(n)
-    for h in (0, 1):
-        own = np.flatnonzero(half == h)
-        if not len(own):
-            continue
-        other = idf * factors(counts, toxic, terms, half != h)
-        index, found = model.index_of(other), []
-        for i in range(0, n, _ROWS):
-            asked, here = weigh(counts.rows(i, min(n, i + _ROWS)), other), half[i : i + _ROWS] == h
-            on, nth = here[asked.row], np.cumsum(here) - 1
-            found.append(index.nearest(Vectors(int(here.sum()), nth[asked.row[on]], asked.term[on], asked.weight[on]), params.k + 1))
-        best, who = (np.concatenate(x) for x in zip(*found, strict=True))
-        del index, found
-        give_back()
-        # of more equals than k + 1, another one may stand for it
-        self_at = who == own[:, None]
-        drop = np.where(self_at.any(axis=1), self_at.argmax(axis=1), params.k)
-        keep = np.arange(params.k + 1)[None] != drop[:, None]
-        votes[own] = model.votes(best[keep].reshape(-1, params.k), who[keep].reshape(-1, params.k))
-    model.curve = _logistic(votes, toxic)
+    model.curve = _logistic(_own_votes(spark, model, idf), toxic)
     return model
 
 
@@ -419,7 +461,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 4 for r in rows])
     ids, toxic = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     del rows
-    return build(vocabulary, idf, Vectors(len(ids), row, term, times), ids, toxic, params)
+    return build(docs.sparkSession, vocabulary, idf, Vectors(len(ids), row, term, times), ids, toxic, params)
 
 
 def _predict(rows: DataFrame, model: ToxicityModel | None, id_type: T.DataType | None) -> DataFrame:

@@ -125,3 +125,23 @@ def test_cross_validation_leaves_the_held_out_fold_alone(spark, docs):
     other = [(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in rows]
     got = [cross_validate(table, spark.createDataFrame(r, "doc_id long, toxic int"), choices) for r in (rows, other)]
     assert np.allclose(got[0], got[1]) and all(found == 1.0 and called == 0.0 for _, found, called in got[0])
+
+
+def test_driver_makes_no_index(spark, docs, monkeypatch):
+    """The examples' own votes come from the executors: on the driver an index of all examples would take most of its room."""
+    import os
+
+    from echofold.llm import toxicity
+
+    driver, made = os.getpid(), toxicity.BlockMaxIndex
+
+    def elsewhere(*args):
+        if os.getpid() == driver:
+            raise AssertionError("an index on the driver")
+        return made(*args)
+
+    monkeypatch.setattr(toxicity, "BlockMaxIndex", elsewhere)
+    texts = [f"plain words of text {i}" if i % 2 else f"vile insults of text {i}" for i in range(80)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(texts), labels)
+    assert model.index is None and model.curve[0] > 0
